@@ -10,7 +10,7 @@ in a language's sample. The number of phrases times the cost of pointing at one
 cross-entropy of text and language; the language needing least wins.
 
 The automata are dense transition tables in which a missing transition restarts
-at the root and counts a phrase, so parsing is one table look-up a character,
+at the root and counts phrases, so parsing is one table look-up a character,
 done for many texts and all languages at a time. Texts are parsed in stretches
 of STRETCH characters (the parse restarts at each), whole texts always.
 """
@@ -100,7 +100,11 @@ def suffix_automaton(codes: np.ndarray, alphabet: int) -> np.ndarray:
 
 
 class Model:
-    """Automata of all languages as one table of (next row * 2 + new phrase)."""
+    """Automata of all languages as one table of (next row * 4 + phrases ended).
+
+    A missing transition ends the phrase and starts one at that character; a
+    character that the sample lacks is a phrase of its own.
+    """
 
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
@@ -110,15 +114,14 @@ class Model:
             codes = self.fold(samples[lang])
             step = suffix_automaton(codes, a)
             root = step[0]
-            # a character that the sample lacks is a phrase of its own
-            restart = np.where(root >= 0, root, 0)
-            step = np.where(step >= 0, step.astype(np.int64), -1)
-            table = np.where(step >= 0, (step + at) * a * 2, (restart + at)[None, :] * a * 2 + 1)
+            ended = np.where(root >= 0, (root.astype(np.int64) + at) * a * 4 + 1, at * a * 4 + 2)
+            table = np.where(step >= 0, (step.astype(np.int64) + at) * a * 4, ended[None, :])
+            table[0] = np.where(root >= 0, table[0], at * a * 4 + 1)
             tables.append(table)
             roots.append(at * a)
             cost.append(np.log2(max(2, len(codes))))
             at += len(step)
-        self.table = np.concatenate(tables).ravel().astype(np.int64 if at * a * 2 > 2**31 - 1 else np.int32) if tables else np.zeros(0, np.int32)
+        self.table = np.concatenate(tables).ravel().astype(np.int64 if at * a * 4 > 2**31 - 1 else np.int32) if tables else np.zeros(0, np.int32)
         self.roots, self.cost = np.array(roots, np.int64), np.array(cost)
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -141,10 +144,10 @@ class Model:
             state = np.repeat(self.roots[:, None], len(lanes), axis=1).astype(self.table.dtype)
             for t, m in enumerate(live.tolist()):
                 got = self.table.take(state[:, :m] + text[t, :m])
-                count[:, :m] += got & 1
-                state[:, :m] = got >> 1
-            # each started phrase that a failure did not end is one more
-            np.add.at(out, [owner[k] for k in lanes], (count + (n > 0)).T)
+                count[:, :m] += got & 3
+                state[:, :m] = got >> 2
+            # a phrase that the end cuts off is one more
+            np.add.at(out, [owner[k] for k in lanes], (count + (state != self.roots[:, None])).T)
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
