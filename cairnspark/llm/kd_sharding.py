@@ -101,7 +101,6 @@ def plan_tree(rows: DataFrame, n_shards: int | None, target_bytes: int | None) -
         for s in splits:
             open_nodes[s["left"]] = s["n_left"]
             open_nodes[s["right"]] = s["n_right"]
-        open_nodes = {k: v if k in stats else 1 for k, v in open_nodes.items() if k in stats or any(k == s["right"] for s in splits)}
     return levels, n_shards
 
 
