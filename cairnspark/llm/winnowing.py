@@ -126,14 +126,14 @@ def hits(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_
         lambda p: F.struct(p.alias("p"), F.lit(0).alias("n"), F.get(g, p).alias("h"), _context(w, p).alias("ctx")),
     )
     parts = [found]
-    for n in lengths:
+    def short_runs(n: int) -> Column:
         runs = F.transform(_grams(w, n), lambda h, i: F.struct(i.alias("p"), h.alias("h")))
-        parts.append(
-            F.transform(
-                F.filter(runs, lambda r: known(r["h"])),
-                lambda r, n=n: F.struct(r["p"].alias("p"), F.lit(n).alias("n"), r["h"].alias("h"), F.slice(w, r["p"] + 1, n).alias("ctx")),
-            )
+        return F.transform(
+            F.filter(runs, lambda r: known(r["h"])),
+            lambda r: F.struct(r["p"].alias("p"), F.lit(n).alias("n"), r["h"].alias("h"), F.slice(w, r["p"] + 1, n).alias("ctx")),
         )
+
+    parts += [short_runs(n) for n in lengths]
     found = F.concat(*parts) if len(parts) > 1 else found
     rows = rows.select(*(keep or []), F.monotonically_increasing_id().alias("row"), F.size("w").alias("n_words"), found.alias("found"))
     rows = materialize(rows, "winnow-docs")
