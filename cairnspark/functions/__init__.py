@@ -17,6 +17,7 @@ from .kernels import (  # noqa: F401
     data_hash,
     decompress_chunk,
     file_hash_of_root,
+    float_bytes,
     keyed_chunk_hash,
     keyed_hash,
     node_hash,

@@ -10,15 +10,22 @@ from ..constants import CODECS, XORB_VERSION
 _GROUPS = (1, 9, 17, 25)
 
 
+def _backwards(data: Column, start: int, n: int) -> Column:
+    """``n`` bytes from ``start`` (1-based) in reverse. (``reverse`` would keep
+    what looks like a UTF-8 character together.)"""
+    return F.concat(*[F.substring(data, start + n - 1 - i, 1) for i in range(n)])
+
+
 def api_hex(h: Column) -> Column:
     """A 32-byte hash as text: each 8-byte word reversed, in lower-case hex."""
-    return F.lower(F.hex(F.concat(*[F.reverse(F.substring(h, i, 8)) for i in _GROUPS])))
+    return F.lower(F.hex(F.concat(*[_backwards(h, i, 8) for i in _GROUPS])))
 
 
 def from_api_hex(text: Column, strict: bool = True) -> Column:
     """The hash of its text. Other lengths or digits raise, or give null where
     not ``strict``; null stays null."""
-    words = F.concat(*[F.reverse(F.unhex(F.substring(text, 2 * i - 1, 16))) for i in _GROUPS])
+    raw = F.unhex(text)
+    words = F.concat(*[_backwards(raw, i, 8) for i in _GROUPS])
     good = text.rlike("^[0-9a-fA-F]{64}$")
     if not strict:
         return F.when(good, words)
@@ -40,7 +47,7 @@ def codec_code(name: Column) -> Column:
 
 def _u24(n: Column) -> Column:
     """Three bytes, low first."""
-    return F.reverse(F.unhex(F.lpad(F.hex(n.cast("bigint")), 6, "0")))
+    return _backwards(F.unhex(F.lpad(F.hex(n.cast("bigint")), 6, "0")), 1, 3)
 
 
 def chunk_header(packed: Column, codec: Column, size: Column) -> Column:

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import BinaryType
 
 from .. import constants as c
 from ..kernels import bits
 from ..kernels.blake3 import keyed
-from ..kernels.gear import cut
+from ..kernels.gear import cut, table_of
 from .columns import is_zero_key
 
 
@@ -56,7 +58,7 @@ def file_hash_of_root(root: Column, salt: bytes = c.ZERO) -> Column:
     return keyed_hash(salt, root)
 
 
-@arrow_udf("binary")
+@arrow_udf(BinaryType())
 def _by_own_key(data: pa.Array, key: pa.Array) -> pa.Array:
     rows, keys = data.to_pylist(), key.to_pylist()
     groups: dict[bytes, list[int]] = {}
@@ -75,14 +77,15 @@ def keyed_chunk_hash(h: Column, key: Column) -> Column:
     return F.when(is_zero_key(key), h).otherwise(_by_own_key(h, key))
 
 
-def chunk_bounds(data: Column, algorithm: str = "gearhash", least: int = c.MIN_CHUNK, most: int = c.MAX_CHUNK) -> Column:
+def chunk_bounds(data: Column, algorithm: str = "gearhash", least: int = c.MIN_CHUNK, most: int = c.MAX_CHUNK, bits: int = c.CUT_BITS, table: str | None = None) -> Column:
     """array<struct<start, end>> tiling the bytes; empty for empty or null."""
+    words = table_of(table)
 
     @arrow_udf("array<struct<start: bigint, end: bigint>>")
     def run(rows: pa.Array) -> pa.Array:
         out = []
         for x in rows.to_pylist():
-            ends = cut(bytes(x), algorithm, least, most) if x else []
+            ends = cut(bytes(x), algorithm, least, most, bits, words) if x else []
             out.append([{"start": a, "end": b} for a, b in zip([0, *ends], ends, strict=False)])
         return pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
 
@@ -122,6 +125,16 @@ def decompress_chunk(data: Column, codec: Column, size: Column, strict: bool = T
     return run(_binary(data), codec, size)
 
 
+@arrow_udf(BinaryType())
+def _floats(rows: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else np.array(x, "<f4").tobytes() for x in rows.to_pylist()], pa.binary())
+
+
+def float_bytes(values: Column) -> Column:
+    """An array of numbers as little-endian 32-bit floats (nulls as NaN)."""
+    return _floats(values)
+
+
 _TRANSFORMS = {"bg4": bits.group4, "bg4_inverse": bits.ungroup4, "fbs": bits.slice_bits, "fbs_inverse": bits.unslice_bits}
 
 

@@ -4,22 +4,42 @@ The gear hash of position i depends on the last 64 bytes alone (older terms are
 shifted out of 64 bits), so all hashes come from six doubling passes over the
 bytes; only the choice among the sparse candidates is sequential. Boundaries
 therefore do not depend on how the bytes were read.
+
+The byte table is a parameter of 256 words. The default is made by a rule; for
+boundaries equal to other tools', pass the table those tools use (see
+:func:`table_of`).
 """
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_left
+from collections.abc import Sequence
 
 import numpy as np
 
-from ..constants import CUT_SHIFT, GEAR, MAX_CHUNK, MIN_CHUNK, NORMAL_CHUNK
+from ..constants import CUT_BITS, MAX_CHUNK, MIN_CHUNK, NORMAL_CHUNK
 
 _PIECE = 1 << 20
 
+#: The default table: of each byte, the first eight bytes of its SHA-256.
+RULE_TABLE = np.array([int.from_bytes(hashlib.sha256(bytes([b])).digest()[:8], "big") for b in range(256)], np.uint64)
+
+
+def table_of(words: str | Sequence[int] | None) -> np.ndarray:
+    """A byte table: 256 numbers, or their hexadecimal text (blank-separated);
+    None is the rule's."""
+    if words is None:
+        return RULE_TABLE
+    numbers = [int(x, 16) for x in words.split()] if isinstance(words, str) else list(words)
+    if len(numbers) != 256:
+        raise ValueError("a gear table has 256 words")
+    return np.array(numbers, np.uint64)
+
 
-def gear_hashes(data: np.ndarray) -> np.ndarray:
+def gear_hashes(data: np.ndarray, table: np.ndarray = RULE_TABLE) -> np.ndarray:
     """The rolling hash after each byte of a fresh, never reset, window."""
-    h = GEAR[data]
+    h = table[data]
     for m in (1, 2, 4, 8, 16, 32):
         if len(h) <= m:
             break
@@ -27,17 +47,17 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def _candidates(data: np.ndarray) -> np.ndarray:
+def _candidates(data: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
     """Ends (exclusive) at which the hash says cut, ascending."""
     out = []
     for s in range(0, len(data), _PIECE):
         lead = min(s, 63)
-        h = gear_hashes(data[s - lead : s + _PIECE])[lead:]
-        out.append(np.flatnonzero(h >> np.uint64(CUT_SHIFT) == 0) + s + 1)
+        h = gear_hashes(data[s - lead : s + _PIECE], table)[lead:]
+        out.append(np.flatnonzero(h >> np.uint64(64 - bits) == 0) + s + 1)
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def gear_cuts(data: bytes, least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> list[int]:
+def gear_cuts(data: bytes, least: int = MIN_CHUNK, most: int = MAX_CHUNK, bits: int = CUT_BITS, table: np.ndarray = RULE_TABLE) -> list[int]:
     """Chunk ends of some bytes; the last is their length. Empty for none.
 
     ``least`` has to be 64 or more, as a shorter chunk would show where the
@@ -48,7 +68,7 @@ def gear_cuts(data: bytes, least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> lis
     n = len(data)
     if n <= least:
         return [n] if n else []
-    found = _candidates(np.frombuffer(data, np.uint8)).tolist()
+    found = _candidates(np.frombuffer(data, np.uint8), table, bits).tolist()
     cuts, start = [], 0
     while n - start > least:
         k = bisect_left(found, start + least)
@@ -108,9 +128,10 @@ def ultra_cuts(data: bytes, least: int = MIN_CHUNK, normal: int = NORMAL_CHUNK,
 ALGORITHMS = {"gearhash": gear_cuts, "ultracdc": ultra_cuts}
 
 
-def cut(data: bytes, algorithm: str = "gearhash", least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> list[int]:
+def cut(data: bytes, algorithm: str = "gearhash", least: int = MIN_CHUNK, most: int = MAX_CHUNK, bits: int = CUT_BITS, table: np.ndarray = RULE_TABLE) -> list[int]:
+    """Chunk ends of some bytes by either algorithm."""
     if algorithm == "ultracdc":
         return ultra_cuts(data, least, min(max(NORMAL_CHUNK * least // MIN_CHUNK, least), most), most)
     if algorithm != "gearhash":
         raise ValueError(f"algorithm is one of {sorted(ALGORITHMS)}")
-    return gear_cuts(data, least, most)
+    return gear_cuts(data, least, most, bits, table)

@@ -70,3 +70,49 @@ def file_hashes(trees: Iterable[Sequence[Node]], salt: bytes = ZERO) -> list[byt
     trees = list(trees)
     out = keyed(salt, roots(trees))
     return [h if t else ZERO for h, t in zip(out, trees, strict=True)]
+
+
+class OpenTree:
+    """A root folded while its leaves arrive, in order, a run at a time.
+
+    Of each level it keeps the nodes after the last group's end, nine at most.
+    """
+
+    def __init__(self) -> None:
+        self.rest: list[list[Node]] = []
+        self.seen: list[int] = []
+        self.size = self.count = 0
+
+    def push(self, nodes: Sequence[Node], level: int = 0) -> None:
+        if level == len(self.rest):
+            self.rest.append([])
+            self.seen.append(0)
+        if level == 0:
+            self.size += sum(n for _, n in nodes)
+            self.count += len(nodes)
+        self.seen[level] += len(nodes)
+        held = [*self.rest[level], *nodes]
+        ends = cuts([h for h, _ in held])
+        # the last group may still grow, and a lone node may be the root
+        if ends and not _closed(held[ends[-2] if len(ends) > 1 else 0 :]):
+            ends.pop()
+        done = held[: ends[-1]] if ends else []
+        self.rest[level] = held[len(done) :]
+        if done:
+            self.push(fold([done])[0], level + 1)
+
+    def close(self) -> bytes:
+        level = 0
+        while level < len(self.rest):
+            rest = self.rest[level]
+            if self.seen[level] == 1 and len(rest) == 1:
+                return rest[0][0]
+            if rest:
+                self.rest[level] = []
+                self.push(fold([rest])[0], level + 1)
+            level += 1
+        return ZERO
+
+
+def _closed(group: Sequence[Node]) -> bool:
+    return len(group) == 9 or (len(group) >= 3 and group[-1][0][24] & 3 == 0)
