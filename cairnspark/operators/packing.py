@@ -44,7 +44,7 @@ def assign_xorbs(chunks: DataFrame, cap: int = c.XORB_CAP, overhead: int = c.CHU
                 at = s
                 while at < e:
                     before = int(upto[at - 1]) if at else 0
-                    stop = int(np.searchsorted(upto[:e], before + cap - filled, side="right"))
+                    stop = max(at, int(np.searchsorted(upto[:e], before + cap - filled, side="right")))
                     if stop == at:
                         if held:
                             xorb, held, filled = xorb + 1, 0, 0
