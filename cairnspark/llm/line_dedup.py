@@ -19,6 +19,8 @@ components as all pairs, with two rows a character.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,6 +34,8 @@ THRESHOLD = 1
 #: Shorter lines are always kept: an edit changes too much of them.
 MIN_CHARS = 20
 CROWD = 32
+#: The seed that Spark's xxhash64 has; Python makes the same line ids with it.
+LINE_SEED = 42
 
 
 # -- verification -----------------------------------------------------------
@@ -135,24 +139,45 @@ def _line_id(line: Column) -> Column:
     return F.xxhash64(line)
 
 
-def _keys(line: Column, n: Column, k: int) -> Column:
-    """The index keys of a line and the probes of it, as one array (the keys
-    are among the probes at equal length)."""
-    keys = []
+@lru_cache(1 << 16)
+def _spans(n: int, k: int) -> list[tuple[int, int, int]]:
+    """(seed, start, end) of the index keys and probes of a line of ``n``
+    characters; the keys are among the probes at equal length. The seed tells
+    the indexed length and the segment's number."""
+    out = []
     for delta in range(k + 1):
         m = n - delta  # length of the indexed lines
-        short = F.floor(m / (k + 1)).cast("int")
-        n_short = (k + 1) - m % (k + 1)
+        if m <= k:
+            continue
+        short, n_short = m // (k + 1), (k + 1) - m % (k + 1)
         for i in range(1, k + 2):
-            start = F.lit(1) + short * (i - 1) + F.greatest(F.lit(0), F.lit(i - 1) - n_short)
-            size = short + F.when(F.lit(i) > n_short, 1).otherwise(0)
-            lo = max(-(i - 1), delta - (k + 1 - i))
-            hi = min(i - 1, delta + (k + 1 - i))
-            for shift in range(lo, hi + 1):
-                at = start + shift
-                ok = (m > k) & (at >= 1) & (at + size - 1 <= n)
-                keys.append(F.when(ok, F.xxhash64(m, F.lit(i), F.substring(line, at, size))))
-    return F.array_compact(F.array(*keys))
+            start, size = short * (i - 1) + max(0, i - 1 - n_short), short + (i > n_short)
+            lo, hi = max(-(i - 1), delta - (k + 1 - i)), min(i - 1, delta + (k + 1 - i))
+            out += [((m << 6) + i, at, at + size) for at in range(max(0, start + lo), min(start + hi, n - size) + 1)]
+    return out
+
+
+def _cells(docs: DataFrame, text_col: str, min_chars: int, k: int) -> DataFrame:
+    """(h, key): the keys of every line of at least ``min_chars``, with the
+    line's id."""
+
+    def run(batches):
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            h, key = [], []
+            for text in batch.column(0).to_pylist():
+                for line in text.split("\n") if text else ():
+                    n = len(line)
+                    if n < min_chars:
+                        continue
+                    spans = _spans(n, k)
+                    h.append((xxh64_intdigest(line, LINE_SEED), len(spans)))
+                    key += [xxh64_intdigest(line[a:b], seed) for seed, a, b in spans]
+            ids = np.repeat(np.array([x for x, _ in h], np.uint64), [c for _, c in h]) if h else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(np.array(key, np.uint64).view(np.int64))], ["h", "key"])
+
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "h bigint, key bigint")
 
 
 def _hashed_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
@@ -188,7 +213,7 @@ def line_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Edges (a, b) of line ids (XXH64 of the line): verified pairs within the
     threshold, with the same components as all such pairs."""
     lines = _hashed_lines(docs, id_col, text_col, min_chars)
-    cells = lines.select("h", F.explode(_keys(F.col("line"), F.char_length("line"), threshold)).alias("key"))
+    cells = materialize(_cells(docs, text_col, min_chars, threshold), "lines-cells")
     keys = cells.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("z")).filter("a < z").select("key")
     keys = materialize(keys, "lines-keys")
     shared = materialize(cells.join(fit(keys), "key").select("key", "h").distinct(), "lines-shared")
