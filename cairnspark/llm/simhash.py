@@ -16,6 +16,12 @@ one-bit neighbours instead: two fingerprints are within two bits exactly if
 their radius-one balls meet, and a ball has 65 points, so a star around the
 smallest fingerprint of every shared point gives the same components with a
 number of edges linear in the crowd.
+
+Two bits are the contract of :func:`near_duplicates`. A text that shares 0.8 of
+its five-word shingles with another is some ten bits away from it, too far for
+any grid of 64 bits; :func:`drop_near_duplicates` therefore finds such pairs
+besides, from minima of the shingles' hashes (see :func:`similar_pairs`), and
+verifies each by the shingles themselves.
 """
 
 from __future__ import annotations
@@ -58,16 +64,25 @@ def fingerprint(text: str | None, n: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, n: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp as a signed bigint; one row per input row."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, n: int = SHINGLE, bands: bool = False) -> DataFrame:
+    """(doc_id, fp): fp as a signed bigint; one row per input row. With
+    ``bands`` also tid (the text's XXH64) and its band keys (null: no word)."""
 
     def run(batches):
+        from xxhash import xxh64_intdigest
+
         for b in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), n) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            texts = b.column(1).to_pylist()
+            fps = np.fromiter((fingerprint(t, n) for t in texts), np.uint64, b.num_rows)
+            cols, names = [b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"]
+            if bands:
+                tids = np.fromiter((xxh64_intdigest(t or "", SEED) for t in texts), np.uint64, b.num_rows)
+                cols += [pa.array(tids.view(np.int64)), pa.array([band_keys(t) for t in texts], pa.list_(pa.int64()))]
+                names += ["tid", "bands"]
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     picked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id bigint, fp bigint")
+    return picked.mapInArrow(run, "doc_id bigint, fp bigint" + ", tid bigint, bands array<bigint>" * bands)
 
 
 def _popcounts(fp: Column) -> Column:
@@ -129,6 +144,137 @@ def links(fps: DataFrame) -> DataFrame:
     return near.union(two).union(many).distinct()
 
 
+# -- texts that share most of their shingles ----------------------------------
+
+#: Words a shingle, and the share of common shingles (Jaccard) that links texts.
+WIDE, SIMILAR = 5, 0.8
+#: Band keys a text and minima a key: 0.9993 of the pairs at a similarity of
+#: 0.8 share a key, 0.99999 at 0.85.
+BANDS, MINIMA = 24, 6
+#: A further round for crowds is run while the last one linked this share.
+GAIN = 0.1
+
+_GOLD = 0x9E3779B97F4A7C15
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+_LANES = _mixed(np.arange(1, BANDS * MINIMA + 1, dtype=np.uint64) * np.uint64(_GOLD))
+
+
+def shingles(text: str | None, n: int = WIDE) -> np.ndarray:
+    """Hashes of the distinct shingles, ascending; of all words if fewer."""
+    from xxhash import xxh3_64_intdigest
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    w, n = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words)), min(n, len(words))
+    out = np.zeros(len(w) - n + 1, np.uint64)
+    for i in range(n):
+        out = out * np.uint64(_GOLD) + w[i : len(w) - n + 1 + i]
+    return np.unique(_mixed(out))
+
+
+def band_keys(text: str | None) -> list[int] | None:
+    s = shingles(text)
+    if not len(s):
+        return None
+    low = np.full(len(_LANES), np.iinfo(np.uint64).max)
+    for at in range(0, len(s), 2048):
+        low = np.minimum(low, ((s[at : at + 2048, None] ^ _LANES) * (_LANES | np.uint64(1))).min(axis=0))
+    key = np.arange(BANDS, dtype=np.uint64)
+    for row in low.reshape(BANDS, MINIMA).T:
+        key = _mixed(key * np.uint64(_GOLD) + row)
+    return key.view(np.int64).tolist()
+
+
+def similarity(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard similarity of two shingle sets."""
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common / max(1, len(x) + len(y) - common)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of text ids that are similar, by the texts."""
+    x = texts.select(F.col("tid").alias("a"), F.col("text").alias("x"))
+    y = texts.select(F.col("tid").alias("b"), F.col("text").alias("y"))
+
+    def run(batches):
+        last, own = None, None
+        for batch in batches:
+            ids, ok = batch.column(0).to_pylist(), []
+            xs, ys = batch.column(2), batch.column(3)
+            for i, a in enumerate(ids):
+                if a != last:
+                    last, own = a, shingles(xs[i].as_py())
+                ok.append(similarity(own, shingles(ys[i].as_py())) >= SIMILAR)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+
+def similar_pairs(rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """Edges (a, b) of text ids whose texts are similar, each verified.
+
+    ``rows`` (tid, bands) are the fingerprinted ``docs``. Texts that share a
+    band key are candidates. A key of up to CROWD texts gives all its pairs; of
+    a larger one each text is compared with the key's most central text (the
+    one whose keys are shared most), and rounds go on, without what is linked,
+    while they link GAIN of the rest. A crowd of texts that are alike only
+    pairwise, with no text in their middle, may so keep more than one.
+    """
+    uniq = materialize(rows.filter("bands is not null").groupBy("tid").agg(F.first("bands").alias("bands")), "similar-texts")
+    cells = uniq.select("tid", F.explode("bands").alias("key"))
+    sizes = materialize(cells.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "similar-sizes")
+    shared = materialize(cells.join(sizes, "key"), "similar-cells")
+    texts = docs.select(F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("tid"), F.col(text_col).cast("string").alias("text"))
+    involved = fit(materialize(shared.select("tid").distinct(), "similar-ids"))
+    texts = materialize(texts.join(involved, "tid", "left_semi").groupBy("tid").agg(F.max("text").alias("text")), "similar-bodies")
+
+    members = shared.filter(F.col("n") <= CROWD).groupBy("key").agg(F.sort_array(F.collect_list("tid")).alias("m"))
+    pairs = members.select("m").distinct().select(F.posexplode("m").alias("i", "a"), "m").select("a", F.explode(F.slice("m", F.col("i") + 2, CROWD)).alias("b")).distinct()
+    found = materialize(_verified(materialize(pairs, "similar-pairs"), texts), "similar-links")
+
+    weight = materialize(shared.groupBy("tid").agg(F.sum("n").alias("w")), "similar-weights")
+    rest = materialize(shared.filter(F.col("n") > CROWD).select("key", "tid").join(weight, "tid"), "similar-crowds")
+    left = rest.select("tid").distinct().count()
+    while left:
+        lead = rest.groupBy("key").agg(F.max(F.struct("w", "tid")).alias("l"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        lead = materialize(lead.select("key", F.col("l.tid").alias("a")), "similar-leads")
+        tried = rest.join(lead, "key").filter("a <> tid").select("a", F.col("tid").alias("b")).distinct()
+        got = materialize(_verified(materialize(tried, "similar-tried"), texts), "similar-round")
+        found = found.union(got)
+        done = fit(materialize(got.select(F.col("b").alias("tid")).union(lead.select(F.col("a").alias("tid"))).distinct(), "similar-done"))
+        rest = materialize(rest.join(done, "tid", "left_anti"), "similar-crowds")
+        now = rest.select("tid").distinct().count()
+        if got.isEmpty() or left - now < GAIN * left:
+            break
+        left = now
+    return found
+
+
+# -- operators ---------------------------------------------------------------
+
+
+def _labelled(rows: DataFrame) -> DataFrame:
+    """(fp, component_id) of fingerprinted rows (doc_id, fp): the smallest id
+    reachable over links of RADIUS bits."""
+    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
+    linked = materialize(components(links(distinct)), "simhash-linked")
+    # components are labelled by a fingerprint; relabel by the smallest id
+    member = distinct.join(linked, distinct.fp == linked.node).select("fp", "rep", "component")
+    member = materialize(member, "simhash-members")
+    label = materialize(member.groupBy("component").agg(F.min("rep").alias("smallest")), "simhash-labels")
+    member = member.join(label, "component").select("fp", "smallest")
+    named = distinct.join(member, "fp", "left").select("fp", F.coalesce("smallest", "rep").alias("component_id"))
+    return materialize(named, "simhash-named")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE) -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -144,15 +290,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Other columns are ignored, whatever their names.
     """
     rows = materialize(fingerprints(docs, id_col, text_col, n), "simhash-fps")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
-    linked = materialize(components(links(distinct)), "simhash-linked")
-    # components are labelled by a fingerprint; relabel by the smallest id
-    member = distinct.join(linked, distinct.fp == linked.node).select("fp", "rep", "component")
-    member = materialize(member, "simhash-members")
-    label = materialize(member.groupBy("component").agg(F.min("rep").alias("smallest")), "simhash-labels")
-    member = member.join(label, "component").select("fp", "smallest")
-    named = distinct.join(member, "fp", "left").select("fp", F.coalesce("smallest", "rep").alias("component_id"))
-    named = materialize(named, "simhash-named")
+    named = _labelled(rows)
     return rows.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
@@ -161,9 +299,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE) -> DataFrame:
     """The rows of ``docs``, unchanged, of each group's smallest id.
 
-    Rows that share an id stay or go together; rows without an id go if their
-    group has an id and stay otherwise.
+    A group is what links of two kinds connect: fingerprints within RADIUS bits
+    (as in :func:`near_duplicates`), and texts that share SIMILAR of their
+    WIDE-word shingles. Rows that share an id stay or go together; rows without
+    an id go if their group has an id and stay otherwise.
     """
-    gone = near_duplicates(docs, id_col, text_col, n).filter("not (doc_id <=> component_id)").select(F.col("doc_id").alias("__gone")).distinct()
+    rows = materialize(fingerprints(docs, id_col, text_col, n, bands=True), "simhash-rows")
+    named = _labelled(rows.select("doc_id", "fp"))
+    placed = materialize(rows.select("doc_id", "tid", "fp").join(named, "fp").select("doc_id", "tid", "component_id"), "simhash-placed")
+    groups = materialize(placed.filter("component_id is not null").groupBy("tid").agg(F.min("component_id").alias("c")), "simhash-groups")
+    pairs = materialize(similar_pairs(rows.select("tid", "bands"), docs, text_col), "similar-found")
+    ends = pairs.join(groups.select(F.col("tid").alias("a"), F.col("c").alias("u")), "a").join(groups.select(F.col("tid").alias("b"), F.col("c").alias("v")), "b")
+    merged = materialize(components(ends.filter("u <> v"), "u", "v"), "simhash-merged").withColumnRenamed("component", "least")
+    placed = placed.join(fit(merged), F.col("component_id") == F.col("node"), "left").select("doc_id", F.coalesce("least", "component_id").alias("keep"))
+    gone = placed.filter("not (doc_id <=> keep)").select(F.col("doc_id").alias("__gone")).distinct()
     gone = fit(materialize(gone, "simhash-gone"))
     return docs.join(gone, F.col(id_col).cast("bigint").eqNullSafe(gone["__gone"]), "left_anti")

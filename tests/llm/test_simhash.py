@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from xxhash import xxh64_intdigest
 
 from cairnspark.llm import simhash
@@ -97,8 +99,74 @@ def test_components_long_chain(spark):
     assert got == {**{i: 0 for i in range(n)}, 500: 500, 501: 500}
 
 
+def kept_by_brute_force(rows):
+    """Ids left: groups by fingerprints within two bits or similar texts."""
+    fps = [simhash.fingerprint(t) for _, t in rows]
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if (fps[i] ^ fps[j]).bit_count() <= 2 or both and both >= 0.8 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(d, least.get(find(i), d))
+    return sorted(least.values())
+
+
 def test_drop_keeps_one_of_each_group(docs):
     kept = simhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
-    want = {r.component_id for r in simhash.near_duplicates(docs).collect()}
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
+    assert sorted(r.doc_id for r in kept.collect()) == kept_by_brute_force([(r.doc_id, r.text) for r in docs.collect()])
+
+
+@pytest.mark.parametrize("crowd", [32, 4])
+def test_drop_finds_similar_texts(spark, monkeypatch, crowd):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    rng = random.Random(2)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    texts = []
+    for size in (1, 2, 3, 30):
+        base = [rng.choice(vocabulary) for _ in range(200)]
+        texts.append(" ".join(base))
+        for _ in range(size):
+            w = list(base)
+            for _ in range(rng.randint(1, 3)):
+                w[rng.randrange(len(w))] = rng.choice(vocabulary)
+            texts.append(" ".join(w))
+        far = base[:100] + [rng.choice(vocabulary) for _ in range(100)]  # half in common: stays
+        texts.append(" ".join(far))
+    rng.shuffle(texts)
+    rows = list(enumerate(texts)) + [(900, None), (901, ""), (902, texts[0]), (903, "two words"), (904, "two  Words")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(df).collect()) == kept_by_brute_force(rows)
+
+
+def test_drop_odd_rows(odd_docs, no_docs):
+    assert simhash.drop_near_duplicates(no_docs).count() == 0
+    kept = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in simhash.drop_near_duplicates(odd_docs).collect())
+    assert kept == [(False, -2, ""), (False, 5, "alpha beta gamma delta"), (False, 5, "alpha beta gamma delta"), (False, 5, "other words are here")]
+
+
+def test_band_keys_catch_similar_texts():
+    rng = random.Random(8)
+    missed = 0
+    for _ in range(300):
+        w = [str(rng.getrandbits(40)) for _ in range(160)]
+        v = list(w)
+        for at in rng.sample(range(10, 150), 3):
+            v[at] = "changed"
+        x, y = " ".join(w), " ".join(v)
+        assert simhash.similarity(simhash.shingles(x), simhash.shingles(y)) >= 0.8
+        missed += not set(simhash.band_keys(x)) & set(simhash.band_keys(y))
+    assert missed <= 2
