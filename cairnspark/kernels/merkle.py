@@ -28,12 +28,17 @@ def from_api_hex(text: str) -> bytes:
     return b"".join(raw[i : i + 8][::-1] for i in range(0, 32, 8))
 
 
+def ends_group(h: bytes, size: int) -> bool:
+    """Whether a node, the ``size``-th of its group, ends it."""
+    return size == 9 or (size >= 3 and h[24] & 3 == 0)
+
+
 def cuts(hashes: Sequence[bytes]) -> list[int]:
     """Ends of the groups of one level."""
     out, start, n = [], 0, len(hashes)
     for i, h in enumerate(hashes):
         size = i - start + 1
-        if size == 9 or (size >= 3 and h[24] & 3 == 0) or i == n - 1:
+        if ends_group(h, size) or i == n - 1:
             out.append(i + 1)
             start = i + 1
     return out
@@ -94,7 +99,7 @@ class OpenTree:
         held = [*self.rest[level], *nodes]
         ends = cuts([h for h, _ in held])
         # the last group may still grow, and a lone node may be the root
-        if ends and not _closed(held[ends[-2] if len(ends) > 1 else 0 :]):
+        if ends and not ends_group(held[-1][0], ends[-1] - (ends[-2] if len(ends) > 1 else 0)):
             ends.pop()
         done = held[: ends[-1]] if ends else []
         self.rest[level] = held[len(done) :]
@@ -112,7 +117,3 @@ class OpenTree:
                 self.push(fold([rest])[0], level + 1)
             level += 1
         return ZERO
-
-
-def _closed(group: Sequence[Node]) -> bool:
-    return len(group) == 9 or (len(group) >= 3 and group[-1][0][24] & 3 == 0)

@@ -10,12 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as c
 from ..kernels.blake3 import keyed
-from ..kernels.merkle import OpenTree, roots
+from ..kernels.merkle import OpenTree, ends_group, roots
 from .packing import in_file_order
 
 
@@ -86,15 +86,26 @@ def range_hashes(chunks: DataFrame, by: str = "file_id", order: str = "chunk_ind
 
 
 def merkle_groups(nodes: DataFrame, by: str = "file_id", order: str = "chunk_index") -> DataFrame:
-    """The nodes with ``group``: which group of the tree's first level each one
-    falls into, by the cut rule alone (native).
+    """(by, order, chunk_hash, group): which group of the tree's first level
+    each node falls into, by the cut rule alone.
 
-    A group ends at a node whose hash says so once it has three, or at nine;
-    groups restart at each end, so a fold over the group's flags finds them.
+    Groups restart where one ends, so the rows are folded as they stream by, in
+    order; what is kept between batches is two numbers.
     """
-    flag = F.conv(F.hex(F.substring("chunk_hash", 25, 1)), 16, 10).cast("int").bitwiseAND(F.lit(3)) == 0
-    w = Window.partitionBy(by).orderBy(order)
-    held = nodes.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), flag.alias("f")))), lambda x: x["f"]).alias("flags"))
-    step = "aggregate(flags, named_struct('n', 0, 'g', cast(array() as array<int>)), (a, f) -> named_struct('n', if(a.n + 1 = 9 or (a.n + 1 >= 3 and f), 0, a.n + 1), 'g', array_append(a.g, coalesce(try_element_at(a.g, -1), 0) + if(a.n = 0 and size(a.g) > 0, 1, 0))), a -> a.g)"
-    groups = held.select(by, F.expr(step).alias("g"))
-    return nodes.withColumn("__at", F.row_number().over(w)).join(groups, by).withColumn("group", F.get("g", F.col("__at") - 1)).drop("__at", "g")
+    kinds = [nodes.schema[x].dataType.simpleString() for x in (by, order)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held, group = object(), 0, 0
+        for batch in batches:
+            groups = []
+            for file, h in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if file != own:
+                    own, held, group = file, 0, 0
+                groups.append(group)
+                held += 1
+                if ends_group(h, held):
+                    held, group = 0, group + 1
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(3)], pa.array(groups, pa.int64())], [by, order, "chunk_hash", "group"])
+
+    rows = in_file_order(nodes.select(by, order, "chunk_hash"), by, order)
+    return rows.mapInArrow(run, f"`{by}` {kinds[0]}, `{order}` {kinds[1]}, chunk_hash binary, group bigint")

@@ -107,7 +107,7 @@ def merkle_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merkle_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first level's groups over each conversation's turn digests."""
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("chunk_hash"))
-    return op.merkle_groups(turns, "conv_id", "turn").select("conv_id", "turn", F.col("group").cast("bigint").alias("group_no"))
+    return op.merkle_groups(turns, "conv_id", "turn").select("conv_id", "turn", F.col("group").alias("group_no"))
 
 
 def api_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
