@@ -7,7 +7,9 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,3 +117,11 @@ def fold_case(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     ascii_only = F.octet_length(text) == F.char_length(text)
     return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, ASCII_UPPER, ASCII_LOWER))
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in runs of a few rows: Python objects are made of those
+    alone, whatever size Spark's batches have."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Letters and blanks of labelled text per language, at most.
 SAMPLE_CHARS = 24_000
 #: Labelled documents per language that the sample is taken from, on average,
@@ -237,7 +239,7 @@ def predict(docs: DataFrame, samples: dict[str, str], id_col: str = "doc_id", te
     """
     def run(batches):
         model = _model(samples)
-        for batch in batches:
+        for batch in slices(batches, LANES):
             texts = batch.column(2).to_pylist()
             for a, b in _groups(texts):
                 lang, score = model.predict(texts[a:b])
@@ -257,7 +259,7 @@ def keep_identified(docs: DataFrame, samples: dict[str, str], text_col: str = "t
 
     def run(batches):
         model = _model(samples)
-        for batch in batches:
+        for batch in slices(batches, LANES):
             texts = batch.column(at).to_pylist()
             for a, b in _groups(texts):
                 lang, score = model.predict(texts[a:b])

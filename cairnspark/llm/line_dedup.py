@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fit, materialize
+from .common import fit, materialize, slices
 from .components import components
 
 THRESHOLD = 1
@@ -164,7 +164,7 @@ def _cells(docs: DataFrame, text_col: str, min_chars: int, k: int) -> DataFrame:
     def run(batches):
         from xxhash import xxh64_intdigest
 
-        for batch in batches:
+        for batch in slices(batches):
             h, key = [], []
             for text in batch.column(0).to_pylist():
                 for line in text.split("\n") if text else ():
@@ -239,11 +239,9 @@ def line_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     both = pairs.join(text.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(text.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
 
     def verify(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                ok = within(list(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)), threshold)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(ok))
+        for part in slices(batches, 2048):
+            ok = within(list(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)), threshold)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(ok))
 
     return both.select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint").distinct()
 
@@ -289,7 +287,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_cols = len(docs.columns)
 
     def rewrite(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts, drop = batch.column(at_text).to_pylist(), batch.column(n_cols).to_pylist()
             n_lines = [0 if t is None else t.count("\n") + 1 for t in texts]
             cols = [batch.column(i) for i in range(n_cols)]

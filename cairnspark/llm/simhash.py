@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fit, materialize
+from .common import fit, materialize, slices
 from .components import components
 
 SEED = 42
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, n: int = SHINGLE,
     def run(batches):
         from xxhash import xxh64_intdigest
 
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(1).to_pylist()
             fps = np.fromiter((fingerprint(t, n) for t in texts), np.uint64, b.num_rows)
             cols, names = [b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"]
@@ -206,7 +206,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches):
         last, own = None, None
-        for batch in batches:
+        for batch in slices(batches):
             ids, ok = batch.column(0).to_pylist(), []
             xs, ys = batch.column(2), batch.column(3)
             for i, a in enumerate(ids):
