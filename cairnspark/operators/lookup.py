@@ -82,11 +82,15 @@ def match_fetch_ranges(terms: DataFrame, infos: DataFrame, strict: bool = True)
     url_end. Adds url, url_start, url_end, local_start, local_end and error:
     MissingFetchInfo (the xorb has no range) or NoMatchingFetchInfo (none holds
     the term), which raise when ``strict``.
+
+    Ranges are gathered per xorb first (its chunks bound how many there are), so
+    a term is one row throughout and is shuffled once, for the join.
     """
-    fits = (F.col("info_start") <= F.col("range_start")) & (F.col("info_end") >= F.col("range_end"))
-    info = F.when(fits, F.struct("position", "info_start", "url", "url_start", "url_end"))
     keys = ["file_id", "term_index", "xorb_hash", "range_start", "range_end"]
-    got = terms.select(*keys).join(infos, "xorb_hash", "left").groupBy(*keys).agg(F.min(info).alias("i"), F.max(F.col("position").isNotNull()).alias("any"))
+    info = F.struct("position", "info_start", "info_end", "url", "url_start", "url_end")
+    held = infos.groupBy("xorb_hash").agg(F.array_sort(F.collect_list(info)).alias("infos"))
+    fits = F.filter("infos", lambda i: (i["info_start"] <= F.col("range_start")) & (i["info_end"] >= F.col("range_end")))
+    got = terms.select(*keys).join(held, "xorb_hash", "left").select(*keys, F.col("infos").isNotNull().alias("any"), F.get(fits, F.lit(0)).alias("i"))
     error = F.when(~F.col("any"), F.lit("MissingFetchInfo")).when(F.col("i").isNull(), F.lit("NoMatchingFetchInfo"))
     if strict:
         error = F.when(error.isNotNull(), F.raise_error(error).cast("string"))

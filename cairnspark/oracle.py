@@ -130,7 +130,7 @@ p AS (SELECT p_partkey % 1200 AS x, p_partkey AS pos, p_size % 5 AS s, p_size +
 m AS (SELECT t.f, t.i, t.x, t.a, t.b, p.url, p.s, row_number() OVER (PARTITION BY t.f, t.i, t.x, t.a, t.b ORDER BY p.pos) AS k FROM t JOIN p ON p.x = t.x AND p.s <= t.a AND p.e >= t.b)
 SELECT error, url, count(*) AS terms, CAST(sum(a - s) AS BIGINT) AS local_start, CAST(sum(b - s) AS BIGINT) AS local_end
 FROM (SELECT t.a, t.b, m.url, m.s, CASE WHEN m.s IS NOT NULL THEN NULL WHEN EXISTS (SELECT 1 FROM p WHERE p.x = t.x) THEN 'NoMatchingFetchInfo' ELSE 'MissingFetchInfo' END AS error
-  FROM (SELECT DISTINCT * FROM t) t LEFT JOIN (SELECT * FROM m WHERE k = 1) m ON m.f = t.f AND m.i = t.i AND m.x = t.x AND m.a = t.a AND m.b = t.b)
+  FROM t LEFT JOIN (SELECT * FROM m WHERE k = 1) m ON m.f = t.f AND m.i = t.i AND m.x = t.x AND m.a = t.a AND m.b = t.b)
 GROUP BY error, url"""
 KEYED_LOOKUP = """
 WITH t AS (SELECT conv_id, turn, role, conv_id * 1000 + turn AS pos, text FROM conversations WHERE text <> ''),
