@@ -37,11 +37,10 @@ def brute(rows, k, least):
             x = parent[x]
         return x
 
-    for a in range(len(distinct)):
-        for b in range(a):
-            x, y = distinct[a], distinct[b]
-            if abs(len(x) - len(y)) <= k and (find(x) != find(y)) and ld.within([(x, y)], k)[0]:
-                parent[find(x)] = find(y)
+    near = [(x, y) for a, x in enumerate(distinct) for y in distinct[:a] if abs(len(x) - len(y)) <= k]
+    for (x, y), ok in zip(near, ld.within(near, k), strict=True):
+        if ok:
+            parent[find(x)] = find(y)
     seen, gone = set(), set()
     for i, j, x in lines:
         c = find(x)
