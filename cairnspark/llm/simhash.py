@@ -30,7 +30,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fit, materialize, slices
@@ -151,8 +151,9 @@ WIDE, SIMILAR = 5, 0.8
 #: Band keys a text and minima a key: 0.9993 of the pairs at a similarity of
 #: 0.8 share a key, 0.99999 at 0.85.
 BANDS, MINIMA = 24, 6
-#: A further round for crowds is run while the last one linked this share.
-GAIN = 0.1
+#: Rounds of stars at most before a crowd's texts are compared in blocks, and
+#: texts a block. Neither decides what is linked.
+ROUNDS, BLOCK = 6, 64
 
 _GOLD = 0x9E3779B97F4A7C15
 
@@ -218,15 +219,71 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
+def _crowd_pairs(crowd: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
+    """Edges (a, b) of similar texts among all pairs that share a key of
+    ``crowd`` (key, tid), but for pairs that ``found`` has in one component.
+
+    A key's members are cut into blocks of BLOCK texts, in the order of their
+    components, and each two blocks that are not of one component meet in a
+    group of their own. A pair is verified under the smallest of its keys.
+    """
+    parts = fit(materialize(components(found), "crowd-parts"))
+    placed = crowd.join(parts, F.col("tid") == F.col("node"), "left").select("key", "tid", F.coalesce("component", "tid").alias("c"))
+    placed = materialize(placed, "crowd-placed")
+    held = F.sum(F.xxhash64("tid").cast("decimal(20,0)")).alias("held")
+    keys = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n"), held).filter("lo < hi")
+    keys = fit(materialize(keys.groupBy("n", "held").agg(F.min("key").alias("key")).select("key"), "crowd-keys"))
+    order = Window.partitionBy("key").orderBy("c", "tid")
+    blocks = placed.join(keys, "key").select("key", "tid", "c", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int").alias("at"))
+    blocks = materialize(blocks, "crowd-blocks")
+    spans = materialize(blocks.groupBy("key", "at").agg(F.min("c").alias("lo"), F.max("c").alias("hi")), "crowd-spans")
+    meet = spans.select("key", F.col("at").alias("i"), "lo").join(spans.select("key", F.col("at").alias("j"), "hi"), "key").filter("i <= j and lo < hi")
+    meet = materialize(meet.select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("at")), "crowd-meet")
+    own = materialize(blocks.groupBy("tid").agg(F.collect_list("key").alias("keys")), "crowd-own")
+    bodies = materialize(texts.join(own, "tid"), "crowd-bodies")
+    rows = meet.join(blocks, ["key", "at"]).join(bodies, "tid").select("key", "i", "j", "at", "tid", "c", "keys", "text")
+
+    def run(table: pa.Table) -> pa.Table:
+        key, i, j = (table.column(x)[0].as_py() for x in ("key", "i", "j"))
+        at, tid, c = (table.column(x).to_pylist() for x in ("at", "tid", "c"))
+        # pairs that share a smaller key are verified there
+        less = [frozenset(k for k in ks if k < key) for ks in table.column("keys").to_pylist()]
+        sets = [shingles(x.as_py()) for x in table.column("text")]
+        sizes, root = np.array([len(s) for s in sets]), {x: x for x in c}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        out: list[tuple[int, int]] = []
+        left, right = [p for p, x in enumerate(at) if x == i], [p for p, x in enumerate(at) if x == j]
+        for p in left:
+            mine = find(c[p])
+            with_ = [q for q in right if (i != j or q > p) and find(c[q]) != mine and less[p].isdisjoint(less[q]) and min(sizes[p], sizes[q]) >= SIMILAR * max(sizes[p], sizes[q])]
+            if not with_:
+                continue
+            x, ys = sets[p], np.concatenate([sets[q] for q in with_])
+            hit = x[np.minimum(np.searchsorted(x, ys), len(x) - 1)] == ys
+            common = np.add.reduceat(hit.astype(np.int64), np.concatenate([[0], np.cumsum(sizes[with_])[:-1]]))
+            for k in np.flatnonzero(common / (sizes[p] + sizes[with_] - common) >= SIMILAR):
+                q = with_[k]
+                out.append((tid[p], tid[q]))
+                root[find(c[q])] = find(c[p])
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return rows.groupBy("key", "i", "j").applyInArrow(run, "a bigint, b bigint")
+
+
 def similar_pairs(rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """Edges (a, b) of text ids whose texts are similar, each verified.
-
-    ``rows`` (tid, bands) are the fingerprinted ``docs``. Texts that share a
-    band key are candidates. A key of up to CROWD texts gives all its pairs; of
-    a larger one each text is compared with the key's most central text (the
-    one whose keys are shared most), and rounds go on, without what is linked,
-    while they link GAIN of the rest. A crowd of texts that are alike only
-    pairwise, with no text in their middle, may so keep more than one.
+    """Edges (a, b) of text ids whose texts are similar, each verified, with
+    the components of all similar texts that share a band key.
+
+    ``rows`` (tid, bands) are the fingerprinted ``docs``. A key of up to CROWD
+    texts gives all its pairs. Of a larger one each text is first compared with
+    the key's most central text (the one whose keys are shared most), in rounds
+    without what is linked, which join most copies at linear cost; all pairs
+    that are then in different components are compared in blocks.
     """
     uniq = materialize(rows.filter("bands is not null").groupBy("tid").agg(F.first("bands").alias("bands")), "similar-texts")
     cells = uniq.select("tid", F.explode("bands").alias("key"))
@@ -241,21 +298,20 @@ def similar_pairs(rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     found = materialize(_verified(materialize(pairs, "similar-pairs"), texts), "similar-links")
 
     weight = materialize(shared.groupBy("tid").agg(F.sum("n").alias("w")), "similar-weights")
-    rest = materialize(shared.filter(F.col("n") > CROWD).select("key", "tid").join(weight, "tid"), "similar-crowds")
-    left = rest.select("tid").distinct().count()
-    while left:
+    crowd = rest = materialize(shared.filter(F.col("n") > CROWD).select("key", "tid").join(weight, "tid"), "similar-crowds")
+    if crowd.isEmpty():
+        return found
+    for _ in range(ROUNDS):
         lead = rest.groupBy("key").agg(F.max(F.struct("w", "tid")).alias("l"), F.count(F.lit(1)).alias("n")).filter("n > 1")
         lead = materialize(lead.select("key", F.col("l.tid").alias("a")), "similar-leads")
         tried = rest.join(lead, "key").filter("a <> tid").select("a", F.col("tid").alias("b")).distinct()
         got = materialize(_verified(materialize(tried, "similar-tried"), texts), "similar-round")
+        if got.isEmpty():
+            break
         found = found.union(got)
         done = fit(materialize(got.select(F.col("b").alias("tid")).union(lead.select(F.col("a").alias("tid"))).distinct(), "similar-done"))
         rest = materialize(rest.join(done, "tid", "left_anti"), "similar-crowds")
-        now = rest.select("tid").distinct().count()
-        if got.isEmpty() or left - now < GAIN * left:
-            break
-        left = now
-    return found
+    return found.union(materialize(_crowd_pairs(crowd.select("key", "tid"), found, texts), "similar-crowded"))
 
 
 # -- operators ---------------------------------------------------------------

@@ -152,6 +152,24 @@ def test_drop_finds_similar_texts(spark, monkeypatch, crowd):
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(df).collect()) == kept_by_brute_force(rows)
 
 
+def test_drop_compares_all_of_a_crowd(spark):
+    """Copies of a text that is not there, many similar to a few others only."""
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    texts = []
+    for size in (300, 40):
+        base = [rng.choice(vocabulary) for _ in range(200)]
+        for _ in range(size):
+            w = list(base)
+            for at in rng.sample(range(len(w)), rng.randint(2, 5)):
+                w[at] = rng.choice(vocabulary)
+            texts.append(" ".join(w))
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(df).collect()) == kept_by_brute_force(rows)
+
+
 def test_drop_odd_rows(odd_docs, no_docs):
     assert simhash.drop_near_duplicates(no_docs).count() == 0
     kept = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in simhash.drop_near_duplicates(odd_docs).collect())
