@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,22 +31,22 @@ def lookup_chunks(probes: DataFrame, index: DataFrame, keys: DataFrame | None =
         return probes.join(first, "chunk_hash", "left")
     own = index.join(keys.select("shard", "key"), "shard").withColumnRenamed("chunk_hash", "stored")
     first = own.groupBy("key", "stored").agg(F.min_by(at, F.struct("shard", position)).alias("place"))
-    tried = probes.select("chunk_hash").distinct().select("chunk_hash", F.explode(_few(keys)).alias("key"))
+    hashes = probes.select("chunk_hash").distinct()
+    tried = reduce(DataFrame.union, [hashes.select("chunk_hash", F.explode(group).alias("key")) for group in _groups(keys)])
     tried = tried.withColumn("stored", keyed_chunk_hash(F.col("chunk_hash"), F.col("key")))
     found = tried.join(first, ["key", "stored"]).groupBy("chunk_hash").agg(F.min_by("place", F.struct(F.col("place.shard"), F.col(f"place.{position}"))).alias("place"))
     return probes.join(found, "chunk_hash", "left")
 
 
-#: Distinct shard keys that a probe is tried with, at most; each is hashed for.
+#: Distinct shard keys in one constant array.
 MAX_KEYS = 1000
 
 
-def _few(keys: DataFrame) -> Column:
-    """The distinct keys as a constant array."""
-    own = [bytes(r["key"]) for r in keys.select("key").distinct().limit(MAX_KEYS + 1).collect()]
-    if len(own) > MAX_KEYS:
-        raise ValueError(f"more than {MAX_KEYS} shard keys: look up a group of shards at a time")
-    return F.array(*[F.lit(k) for k in own]) if own else F.array().cast("array<binary>")
+def _groups(keys: DataFrame) -> list[Column]:
+    """The distinct keys as constant arrays of up to MAX_KEYS."""
+    own = [bytes(r["key"]) for r in keys.select("key").distinct().collect()]
+    groups = [own[i : i + MAX_KEYS] for i in range(0, len(own), MAX_KEYS)]
+    return [F.array(*[F.lit(k) for k in g]) for g in groups] or [F.array().cast("array<binary>")]
 
 
 def expand_segments(segments: DataFrame, chunks: DataFrame) -> DataFrame:

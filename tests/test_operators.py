@@ -173,6 +173,14 @@ def test_keyed_lookup(spark):
     assert plain == {0: False, 1: False, 2: True, 3: False}
 
 
+def test_keyed_lookup_of_many_keys(spark):
+    keys = [(f"s{i:04}", i.to_bytes(32, "big")) for i in range(1002)]
+    probes = spark.createDataFrame([(b"a" * 32,), (b"b" * 32,)], "chunk_hash binary")
+    index = spark.createDataFrame([(s, 1, keyed(k, [b"a" * 32])[0]) for s, k in keys[500:]], "shard string, position bigint, chunk_hash binary")
+    got = op.lookup_chunks(probes, index, spark.createDataFrame(keys, "shard string, key binary"))
+    assert {bytes(r.chunk_hash): r.place and (r.place.shard, r.place.position) for r in got.collect()} == {b"a" * 32: ("s0500", 1), b"b" * 32: None}
+
+
 def test_fetch_match(spark):
     terms = spark.createDataFrame([("f", 0, "x", 2, 4), ("f", 1, "x", 0, 9), ("g", 0, "z", 0, 1)], "file_id string, term_index int, xorb_hash string, range_start int, range_end int")
     infos = spark.createDataFrame([("x", 1, 0, 5, "late", 0, 9), ("x", 0, 1, 4, "first", 0, 9)], "xorb_hash string, position int, info_start int, info_end int, url string, url_start int, url_end int")
