@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import whole_texts
+
 RULES = ("majority", "start", "split")
 _encoders: dict[str, tuple] = {}
 
@@ -102,4 +104,4 @@ def section_tokens(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "section", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, SCHEMA)
+    return whole_texts(rows).mapInArrow(run, SCHEMA)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -22,12 +23,15 @@ _local_dirs: set[str] = set()
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (one-machine sessions such as tests) a
-    temporary folder is made; it is removed when the driver's Python ends.
+    Only where that setting is absent and the session has one machine (tests) a
+    temporary folder is made; it is removed when the driver's Python ends. A
+    cluster without the setting is an error: no folder of its own is shared.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = os.path.join(tempfile.gettempdir(), f"cairnspark-{os.getpid()}-{spark.sparkContext.applicationId}")
     if own not in _local_dirs:
         os.makedirs(own, exist_ok=True)
@@ -119,6 +123,22 @@ def fold_case(text: Column) -> Column:
     return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, ASCII_UPPER, ASCII_LOWER))
 
 
+#: Rows of an Arrow batch at most, where rows hold whole texts. Spark buffers a
+#: batch twice outside its heap, so batches bound what a task needs there.
+BATCH_ROWS = 512
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def whole_texts(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
+    """``df``, whose rows hold whole texts, about to go to Python: the session's
+    Arrow batches are held to ``rows`` rows from now on (Spark reads the setting
+    when a plan runs, so it cannot be put back here)."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH)) <= rows:
+        conf.set(_BATCH, str(rows))
+    return df
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Arrow batches in runs of a few rows: Python objects are made of those
     alone, whatever size Spark's batches have."""

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, whole_texts
 
 #: Letters and blanks of labelled text per language, at most.
 SAMPLE_CHARS = 24_000
@@ -249,7 +249,7 @@ def predict(docs: DataFrame, samples: dict[str, str], id_col: str = "doc_id", te
                 )
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(is_held_out(F.col(id_col)), F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
+    return whole_texts(rows).mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, samples: dict[str, str], text_col: str = "text", langs: set[str] | None = None, min_score: float = 0.0) -> DataFrame:
@@ -266,4 +266,4 @@ def keep_identified(docs: DataFrame, samples: dict[str, str], text_col: str = "t
                 ok = [x != UNDETERMINED and (langs is None or x in langs) and s >= min_score for x, s in zip(lang, score, strict=True)]
                 yield batch.slice(a, b - a).filter(pa.array(ok, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return whole_texts(docs).mapInArrow(run, docs.schema)

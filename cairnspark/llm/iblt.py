@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, id_bounds, shuffle_partitions
+from .common import bucket_of, id_bounds, shuffle_partitions, whole_texts
 
 CELLS = 24
 _THIRDS = 3
@@ -244,7 +244,7 @@ def recover_differences(pairs: DataFrame, old: str = "old", new: str = "new", ke
 
     picked = pairs.select(key, F.col(old).cast("string").alias("o"), F.col(new).cast("string").alias("n"))
     kind = dict(pairs.dtypes)[key]
-    return picked.mapInArrow(run, f"`{key}` {kind}, removed array<bigint>, added array<bigint>")
+    return whole_texts(picked).mapInArrow(run, f"`{key}` {kind}, removed array<bigint>, added array<bigint>")
 
 
 def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -347,4 +347,4 @@ def version_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     def run(batches):
         yield from _pairwise(batches, _emit)
 
-    return in_order(docs, id_col, text_col).mapInArrow(run, SCHEMA)
+    return whole_texts(in_order(docs, id_col, text_col)).mapInArrow(run, SCHEMA)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fit, materialize, slices
+from .common import fit, materialize, slices, whole_texts
 from .components import components
 
 THRESHOLD = 1
@@ -177,7 +177,7 @@ def _cells(docs: DataFrame, text_col: str, min_chars: int, k: int) -> DataFrame:
             ids = np.repeat(np.array([x for x, _ in h], np.uint64), [c for _, c in h]) if h else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(np.array(key, np.uint64).view(np.int64))], ["h", "key"])
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "h bigint, key bigint")
+    return whole_texts(docs.select(F.col(text_col).cast("string").alias("text"))).mapInArrow(run, "h bigint, key bigint")
 
 
 def _hashed_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
@@ -306,4 +306,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 cols += [pa.array(n_lines, pa.int64()), pa.array([len(d or ()) for d in drop], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, schema.names)
 
-    return joined.mapInArrow(rewrite, schema)
+    return whole_texts(joined).mapInArrow(rewrite, schema)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fit, materialize, slices
+from .common import fit, materialize, slices, whole_texts
 from .components import components
 
 SEED = 42
@@ -82,7 +82,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, n: int = SHINGLE,
             yield pa.RecordBatch.from_arrays(cols, names)
 
     picked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id bigint, fp bigint" + ", tid bigint, bands array<bigint>" * bands)
+    return whole_texts(picked).mapInArrow(run, "doc_id bigint, fp bigint" + ", tid bigint, bands array<bigint>" * bands)
 
 
 def _popcounts(fp: Column) -> Column:
@@ -216,7 +216,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 ok.append(similarity(own, shingles(ys[i].as_py())) >= SIMILAR)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    return whole_texts(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y")).mapInArrow(run, "a bigint, b bigint")
 
 
 def _crowd_pairs(crowd: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:

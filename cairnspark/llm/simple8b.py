@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_of, id_bounds, long_array, shuffle_partitions
+from .common import bucket_of, id_bounds, long_array, shuffle_partitions, whole_texts
 
 MAGIC = b"S8W1"
 BLOCK = 4096
@@ -299,8 +299,8 @@ def words_for(path: str) -> Words:
 
 # -- files -------------------------------------------------------------------
 
-#: Bytes of text encoded at once.
-GROUP_BYTES = 6 << 20
+#: Bytes of text encoded at once, and rows of an Arrow batch.
+GROUP_BYTES, BATCH_ROWS = 6 << 20, 4096
 
 
 def _groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -357,7 +357,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
         if ids:
             yield close()
 
-    rows.select("doc_id", "text", "part").mapInArrow(run, FILE_SCHEMA).write.parquet(path)
+    whole_texts(rows.select("doc_id", "text", "part"), BATCH_ROWS).mapInArrow(run, FILE_SCHEMA).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, digest: bool = True) -> DataFrame:
@@ -387,5 +387,5 @@ def read_tokens(spark: SparkSession, path: str, digest: bool = True) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(seg.doc_ids, pa.int64()), pa.array(begins + own), pa.array(seg.counts.astype(np.int64)), last], ["doc_id", "start", "n_tokens", "ids"])
 
     kind = "bigint" if digest else "array<bigint>"
-    out = files.select(start.alias("start"), "payload").mapInArrow(run, f"doc_id bigint, start bigint, n_tokens bigint, ids {kind}")
+    out = whole_texts(files.select(start.alias("start"), "payload")).mapInArrow(run, f"doc_id bigint, start bigint, n_tokens bigint, ids {kind}")
     return out.withColumnRenamed("ids", "ids_crc32") if digest else out
