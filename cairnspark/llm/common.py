@@ -40,17 +40,31 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+#: Bytes that a task reads at least where its result is written in between.
+TASK_BYTES = 1 << 19
+
+
+def _tasks(df: DataFrame) -> int:
+    """Tasks that the files (by Spark's estimate) behind ``df`` are worth."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    read = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return max(1, -(-read // TASK_BYTES))
+
+
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to a fresh Parquet folder in the shared dir and read it back.
 
-    Cuts lineage: a lost executor costs a re-read, never a recomputation.
+    Cuts lineage: a lost executor costs a re-read, never a recomputation. A
+    plan that reads little is not run in more tasks than TASK_BYTES allow, so
+    small tables do not become as many files as there are shuffle partitions.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write
+    few = _tasks(df)
+    writer = (df.coalesce(few) if few < shuffle_partitions(spark) else df).write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    writer.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -21,15 +21,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     def undirected(e: DataFrame) -> DataFrame:
         return e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
-    def marks(e: DataFrame):
-        h = F.xxhash64("u", "v").cast("decimal(20,0)")
-        r = e.agg(F.count(F.lit(1)).alias("n"), F.sum(h).alias("s")).first()
-        return r["n"], r["s"]
+    def is_stars(e: DataFrame) -> bool:
+        """No node has two smaller ones, or both a smaller and a larger one."""
+        ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("v", F.lit(0), F.lit(1)))
+        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        return ends.filter("up > 1 or up + down > 1").isEmpty()
 
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u is not null and v is not null and u <> v").distinct()
     e = materialize(e, "cc")
-    seen = marks(e)
-    while seen[0]:
+    while not is_stars(e):
         # large star: every larger neighbour of u moves to u's smallest neighbour
         both = undirected(e)
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -42,9 +42,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         small = small.union(least.select("u", F.col("m").alias("v"))).distinct()
         e = materialize(small, "cc")
-        now = marks(e)
-        if now == seen:
-            break
-        seen = now
     out = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return out.union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -151,9 +151,10 @@ WIDE, SIMILAR = 5, 0.8
 #: Band keys a text and minima a key: 0.9993 of the pairs at a similarity of
 #: 0.8 share a key, 0.99999 at 0.85.
 BANDS, MINIMA = 24, 6
-#: Rounds of stars at most before a crowd's texts are compared in blocks, and
-#: texts a block. Neither decides what is linked.
-ROUNDS, BLOCK = 6, 64
+#: A further round of stars is run while the last one linked this share of a
+#: crowd's texts; then they are compared in blocks of BLOCK texts. Neither
+#: decides what is linked.
+GAIN, BLOCK = 0.5, 64
 
 _GOLD = 0x9E3779B97F4A7C15
 
@@ -282,8 +283,9 @@ def similar_pairs(rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     ``rows`` (tid, bands) are the fingerprinted ``docs``. A key of up to CROWD
     texts gives all its pairs. Of a larger one each text is first compared with
     the key's most central text (the one whose keys are shared most), in rounds
-    without what is linked, which join most copies at linear cost; all pairs
-    that are then in different components are compared in blocks.
+    without what is linked, which join most copies at linear cost; once a round
+    links less than GAIN of them, all pairs that are in different components
+    are compared in blocks.
     """
     uniq = materialize(rows.filter("bands is not null").groupBy("tid").agg(F.first("bands").alias("bands")), "similar-texts")
     cells = uniq.select("tid", F.explode("bands").alias("key"))
@@ -295,22 +297,25 @@ def similar_pairs(rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
 
     members = shared.filter(F.col("n") <= CROWD).groupBy("key").agg(F.sort_array(F.collect_list("tid")).alias("m"))
     pairs = members.select("m").distinct().select(F.posexplode("m").alias("i", "a"), "m").select("a", F.explode(F.slice("m", F.col("i") + 2, CROWD)).alias("b")).distinct()
-    found = materialize(_verified(materialize(pairs, "similar-pairs"), texts), "similar-links")
+    found = materialize(_verified(pairs, texts), "similar-links")
 
     weight = materialize(shared.groupBy("tid").agg(F.sum("n").alias("w")), "similar-weights")
     crowd = rest = materialize(shared.filter(F.col("n") > CROWD).select("key", "tid").join(weight, "tid"), "similar-crowds")
     if crowd.isEmpty():
         return found
-    for _ in range(ROUNDS):
+    left = rest.select("tid").distinct().count()
+    while left:
         lead = rest.groupBy("key").agg(F.max(F.struct("w", "tid")).alias("l"), F.count(F.lit(1)).alias("n")).filter("n > 1")
         lead = materialize(lead.select("key", F.col("l.tid").alias("a")), "similar-leads")
         tried = rest.join(lead, "key").filter("a <> tid").select("a", F.col("tid").alias("b")).distinct()
-        got = materialize(_verified(materialize(tried, "similar-tried"), texts), "similar-round")
-        if got.isEmpty():
-            break
+        got = materialize(_verified(tried, texts), "similar-round")
         found = found.union(got)
-        done = fit(materialize(got.select(F.col("b").alias("tid")).union(lead.select(F.col("a").alias("tid"))).distinct(), "similar-done"))
+        done = got.select(F.col("b").alias("tid")).union(lead.select(F.col("a").alias("tid"))).distinct()
         rest = materialize(rest.join(done, "tid", "left_anti"), "similar-crowds")
+        now = rest.select("tid").distinct().count()
+        if left - now < GAIN * left:
+            break
+        left = now
     return found.union(materialize(_crowd_pairs(crowd.select("key", "tid"), found, texts), "similar-crowded"))
 
 
