@@ -11,8 +11,11 @@ cross-entropy of text and language; the language needing least wins.
 
 The automata are dense transition tables in which a missing transition restarts
 at the root and counts phrases, so parsing is one table look-up a character,
-done for many texts and all languages at a time. Texts are parsed in stretches
-of STRETCH characters (the parse restarts at each), whole texts always.
+done for many texts and all languages at a time. Whole texts are parsed, as one
+piece each: a long one is first parsed in stretches side by side, each as if a
+phrase began there; then each stretch's start is parsed again from the state
+that the stretch before ended in, until both parses are in the same state, from
+where they agree. The rare text whose parses do not meet is parsed in one go.
 """
 
 from __future__ import annotations
@@ -31,7 +34,9 @@ SAMPLE_CHARS = 24_000
 SAMPLE_DOCS, SAMPLE_DOC_CHARS = 48, 4_000
 #: Characters of all languages' samples together; more languages share it.
 TOTAL_CHARS = 400_000
-STRETCH = 2048
+#: Characters parsed side by side, and of them how many may pass until a parse
+#: meets that of the stretch before. Neither changes the number of phrases.
+STRETCH, CATCH = 2048, 384
 LANES = 1024
 UNDETERMINED = "und"
 
@@ -129,29 +134,89 @@ class Model:
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """[texts, languages]: phrases that each text is parsed into."""
         out = np.zeros((len(texts), len(self.langs)), np.int64)
-        owner, parts = [], []
-        for i, codes in enumerate(texts):
-            for s in range(0, len(codes), STRETCH):
-                owner.append(i)
-                parts.append(codes[s : s + STRETCH])
-        order = sorted(range(len(parts)), key=lambda k: -len(parts[k]))
-        for s in range(0, len(order), LANES):
-            lanes = order[s : s + LANES]
-            n = np.array([len(parts[k]) for k in lanes])  # descending
-            text = np.zeros((int(n[0]), len(lanes)), self.table.dtype)
-            for j, k in enumerate(lanes):
-                text[: n[j], j] = parts[k]
-            live = np.searchsorted(-n, -np.arange(int(n[0])) - 0.5)  # lanes longer than t
-            count = np.zeros((len(self.langs), len(lanes)), np.int32)
-            state = np.repeat(self.roots[:, None], len(lanes), axis=1).astype(self.table.dtype)
-            for t, m in enumerate(live.tolist()):
-                got = self.table.take(state[:, :m] + text[t, :m])
-                count[:, :m] += got & 3
-                state[:, :m] = got >> 2
+        whole = [i for i, codes in enumerate(texts) if 0 < len(codes) <= STRETCH]
+        whole.sort(key=lambda i: -len(texts[i]))
+        width = max(64, LANES * 4 // max(4, len(self.langs)))
+        for s in range(0, len(whole), width):
+            lanes = whole[s : s + width]
+            count, state, _ = self._parse([texts[i] for i in lanes])
             # a phrase that the end cuts off is one more
-            np.add.at(out, [owner[k] for k in lanes], (count + (state != self.roots[:, None])).T)
+            out[lanes] = (count + (state != self.roots[:, None])).T
+        parts = [(i, at) for i, codes in enumerate(texts) if len(codes) > STRETCH for at in range(0, len(codes), STRETCH)]
+        before, apart = self.roots, set()
+        for s in range(0, len(parts), width):
+            lanes = parts[s : s + width]
+            # the first, in case it is short, lends the others its place
+            order = sorted(range(len(lanes)), key=lambda k: -min(STRETCH, len(texts[lanes[k][0]]) - lanes[k][1]))
+            count, state, seen = self._parse([texts[lanes[k][0]][lanes[k][1] : lanes[k][1] + STRETCH] for k in order], CATCH)
+            back = np.argsort(order)
+            before, apart_now = self._joined(texts, lanes, count[:, back], state[:, back], seen[0][:, :, back], seen[1][:, :, back], before, out)
+            apart |= apart_now
+        for i in apart:
+            out[i] = self._in_one_go(texts[i])
         return out
 
+    def _parse(self, parts: list[np.ndarray], keep: int = 0) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """Phrases ended [languages, parts] and last states of parts in descending
+        length, each parsed from the root; states and counts after each of the
+        first ``keep`` characters."""
+        n = np.array([len(x) for x in parts])
+        text = np.zeros((int(n[0]), len(parts)), self.table.dtype)
+        for j, x in enumerate(parts):
+            text[: n[j], j] = x
+        live = np.searchsorted(-n, -np.arange(int(n[0])) - 0.5)  # parts longer than t
+        count = np.zeros((len(self.langs), len(parts)), np.int32)
+        state = np.repeat(self.roots[:, None], len(parts), axis=1).astype(self.table.dtype)
+        states = np.zeros((keep, *state.shape), self.table.dtype)
+        counts = np.zeros((keep, *state.shape), np.int16)
+        for t, m in enumerate(live.tolist()):
+            got = self.table.take(state[:, :m] + text[t, :m])
+            count[:, :m] += got & 3
+            state[:, :m] = got >> 2
+            if t < keep:
+                states[t], counts[t] = state, count
+        return count, state, (states, counts)
+
+    def _joined(self, texts, parts, count, state, states, counts, before, out) -> tuple[np.ndarray, set[int]]:
+        """Adds the phrases of consecutive ``parts`` (text, start) to ``out``;
+        ``before``: the last states of the part before them. Returns the last
+        part's, and the texts whose parses have not met."""
+        start = np.array([at for _, at in parts])
+        entry = np.concatenate([np.asarray(before).reshape(-1, 1), state[:, :-1]], axis=1)
+        lang, lane = np.nonzero((entry != self.roots[:, None]) & (start > 0))
+        left = np.array([min(CATCH, len(texts[i]) - at) for i, at in parts])
+        head = np.zeros((CATCH, len(parts)), self.table.dtype)
+        for j, (i, at) in enumerate(parts):
+            head[: left[j], j] = texts[i][at : at + left[j]]
+        now, ended = entry[lang, lane], np.zeros(len(lang), np.int32)
+        apart: set[int] = set()
+        for t in range(CATCH):
+            if not len(lang):
+                break
+            got = self.table.take(now + head[t, lane])
+            ended, now = ended + (got & 3), got >> 2
+            met = now == states[t, lang, lane]
+            over = ~met & (t + 1 == left[lane]) & (left[lane] < CATCH)
+            done = met | over
+            if done.any():
+                np.add.at(count, (lang[done], lane[done]), ended[done] - counts[t, lang[done], lane[done]])
+                state[lang[over], lane[over]] = now[over]
+                lang, lane, now, ended = lang[~done], lane[~done], now[~done], ended[~done]
+        apart |= {parts[j][0] for j in lane.tolist()}
+        for j, (i, at) in enumerate(parts):
+            out[i] += count[:, j]
+            if at + STRETCH >= len(texts[i]):
+                out[i] += state[:, j] != self.roots
+        return state[:, -1], apart
+
+    def _in_one_go(self, codes: np.ndarray) -> np.ndarray:
+        state, count = self.roots.astype(self.table.dtype), np.zeros(len(self.langs), np.int64)
+        for c in codes.tolist():
+            got = self.table.take(state + c)
+            count += got & 3
+            state = got >> 2
+        return count + (state != self.roots)
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         codes = [self.fold(t) if t else np.zeros(0, np.int32) for t in texts]
         has = np.array([bool((c != _BLANK).any()) for c in codes])

@@ -1,5 +1,6 @@
 """Op 3: held-out accuracy, and parsing against brute force."""
 
+import random
 import zlib
 
 from cairnspark.llm import cross_parsing as cp
@@ -28,6 +29,24 @@ def test_phrases_match_brute_force():
             assert got[k] == phrases(as_text(text), as_text(samples[lang]))
 
 
+def test_long_texts_are_parsed_whole(monkeypatch):
+    rng = random.Random(4)
+    samples = {k: " ".join("".join(rng.choice(k) for _ in range(rng.randint(1, 6))) for _ in range(150)) for k in ("abc", "abd", "xyz")}
+    samples["tide"] = "ab" * 400
+    m = cp.Model(samples)
+    as_text = lambda t: "".join(chr(200 + c) for c in m.fold(t).tolist())
+    texts = ["".join(rng.choice("abcdxy ") for _ in range(n)) for n in (2048, 2049, 2240, 2300, 5000)]
+    # slices of the samples: phrases that go on over a stretch's start
+    texts += [" ".join(samples[k][100:400] for k in ("abc", "xyz", "abd") * 8), "ab" * 3000, "b" + "ab" * 2500 + "c" + texts[0], "short", ""]
+    want = [[phrases(as_text(t), as_text(samples[k])) for k in m.langs] for t in texts]
+    assert m.phrases([m.fold(t) for t in texts]).tolist() == want
+    alone = m._in_one_go
+    apart = []
+    monkeypatch.setattr(m, "_in_one_go", lambda codes: apart.append(1) or alone(codes))
+    assert m.phrases([m.fold(t) for t in texts[::-1]]).tolist() == want[::-1]
+    assert 0 < len(apart) < 4
+
+
 def test_automaton_accepts_exactly_the_substrings():
     text = [0, 1, 0, 0, 1, 2, 1, 0]
     table = cp.suffix_automaton(__import__("numpy").array(text), 3)
