@@ -27,15 +27,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fit, materialize, slices, whole_texts
+from .common import fit, materialize, slices, unused, whole_texts
 from .components import components
 
 THRESHOLD = 1
-#: Shorter lines are always kept: an edit changes too much of them.
+#: Shorter lines are compared for equality alone: an edit changes too much of
+#: them. Lines of blanks alone are not compared; they part what stands around.
 MIN_CHARS = 20
+_NOT_BLANK = "[^ \\t-\\r]"
 CROWD = 32
 #: The seed that Spark's xxhash64 has; Python makes the same line ids with it.
 LINE_SEED = 42
+_BLANKS = " \t\n\x0b\f\r"
 
 
 # -- verification -----------------------------------------------------------
@@ -169,7 +172,7 @@ def _cells(docs: DataFrame, text_col: str, min_chars: int, k: int) -> DataFrame:
             for text in batch.column(0).to_pylist():
                 for line in text.split("\n") if text else ():
                     n = len(line)
-                    if n < min_chars:
+                    if n < min_chars or not line.strip(_BLANKS):
                         continue
                     spans = _spans(n, k)
                     h.append((xxh64_intdigest(line, LINE_SEED), len(spans)))
@@ -181,7 +184,7 @@ def _cells(docs: DataFrame, text_col: str, min_chars: int, k: int) -> DataFrame:
 
 
 def _hashed_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    lines = lines_of(docs, id_col, text_col).filter(F.char_length("line") >= min_chars)
+    lines = lines_of(docs, id_col, text_col).filter((F.char_length("line") >= min_chars) & F.col("line").rlike(_NOT_BLANK))
     return lines.withColumn("h", _line_id(F.col("line"))).withColumn("h2", F.xxhash64(F.lit(7), F.col("line")))
 
 
@@ -252,7 +255,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     edges = materialize(line_links(docs, id_col, text_col, threshold, min_chars, crowd), "lines-edges")
     linked = materialize(components(edges), "lines-classes").select(F.col("node").alias("h"), "component")
     order = F.coalesce(F.col("doc_id").cast("decimal(19,0)"), F.lit("-9223372036854775809").cast("decimal(19,0)")) * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line_no").cast("decimal(10,0)")
-    lines = _hashed_lines(docs, id_col, text_col, min_chars).select("doc_id", "doc_key", "line_no", "h", "h2", order.cast("decimal(38,0)").alias("o"))
+    lines = _hashed_lines(docs, id_col, text_col, 1).select("doc_id", "doc_key", "line_no", "h", "h2", order.cast("decimal(38,0)").alias("o"))
     lines = lines.join(fit(linked), "h", "left")
     # a linked line's class is its component; any other's is its own two hashes
     lines = lines.select("doc_id", "doc_key", "line_no", "o", F.coalesce("component", "h").alias("c1"), F.when(F.col("component").isNull(), F.col("h2")).otherwise(F.lit(0).cast("bigint")).alias("c2"))
@@ -263,9 +266,10 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, crowd: int = CROWD, counts: tuple[str, str] | None = None) -> DataFrame:
-    """``docs`` with repeated lines (exact or within ``threshold`` edits) of at
-    least ``min_chars`` characters removed from the texts; all rows and columns
-    stay, ``n_chars`` (where present) follows the text.
+    """``docs`` with repeated lines removed from the texts: exact repeats of any
+    line that is not blank, and of at least ``min_chars`` characters those within
+    ``threshold`` edits too; all rows and columns stay, ``n_chars`` (where
+    present) follows the text.
 
     ``counts`` names two integer columns to add: lines of the text, and lines
     dropped.
@@ -273,14 +277,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Edge cases: a null text stays null; a text that loses all lines becomes
     empty; line ends stay between the lines that are kept; rows that repeat an
     (id, text) count as one document and get one result; a null id comes first;
-    an empty table gives no rows. Thresholds over one enumerate every pair of
+    an empty table gives no rows; extra columns may have any name. Thresholds over one enumerate every pair of
     lines that share a key (no crowd rule is exact there).
     """
     drops = materialize(dropped_lines(docs, id_col, text_col, threshold, min_chars, crowd), "lines-drops")
-    side = drops.select(F.col("doc_key").alias("__key"), F.col("doc_id").alias("__id"), F.col("drop").alias("__drop"))
-    keyed = docs.withColumn("__key2", doc_key(id_col, text_col))
-    on = (F.col("__key2") == F.col("__key")) & F.col(id_col).cast("bigint").eqNullSafe(F.col("__id"))
-    joined = keyed.join(side, on, "left").select(*[keyed[c] for c in docs.columns], F.col("__drop"))
+    key, own, no, drop_col = unused(docs, "key_of_drops", "key_of_row", "id_of_drops", "drops")
+    side = drops.select(F.col("doc_key").alias(key), F.col("doc_id").alias(no), F.col("drop").alias(drop_col))
+    keyed = docs.withColumn(own, doc_key(id_col, text_col))
+    on = (F.col(own) == F.col(key)) & F.col(id_col).cast("bigint").eqNullSafe(F.col(no))
+    joined = keyed.join(side, on, "left").drop(own, key, no)
     schema = T.StructType([*docs.schema.fields, *[T.StructField(c, T.LongType()) for c in counts or ()]])
     at_text = docs.columns.index(text_col)
     at_chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None

@@ -28,9 +28,9 @@ def test_verification(pairs, k):
 
 def brute(rows, k, least):
     """(id, text) in order -> kept texts."""
-    lines = [(i, j, x) for i, (_, t) in enumerate(rows) for j, x in enumerate((t or "").split("\n")) if len(x) >= least and t is not None]
-    distinct = sorted({x for _, _, x in lines})
-    parent = {x: x for x in distinct}
+    lines = [(i, j, x) for i, (_, t) in enumerate(rows) for j, x in enumerate((t or "").split("\n")) if x.strip(" \t\r\x0b\f") and t is not None]
+    parent = {x: x for _, _, x in lines}
+    distinct = sorted(x for x in parent if len(x) >= least)
 
     def find(x):
         while parent[x] != x:
@@ -93,3 +93,13 @@ def test_odd_rows(odd_docs):
     out = sorted((r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or "") for r in got.collect())
     # rows equal in id and text are one document: both copies of id 5 lose the line
     assert out == sorted([(False, 0, True, "alpha beta gamma delta"), (False, 0, False, ""), (True, 5, True, ""), (True, 5, True, ""), (True, 5, True, "other words are here"), (True, -2, True, ""), (True, 7, False, "")])
+
+
+def test_clashing_names_and_short_lines(spark):
+    names = ["key_of_drops", "Key_of_row", "id_of_drops", "drops", "__key", "__key2", "__id", "__drop", "h", "line_no"]
+    rows = [(i, t, *([i] * len(names))) for i, t in enumerate(["ab\n\n  \ncd\nab", "cd\n\nabc\n" + "x" * 30, "  \n" + "x" * 29 + "\nab"])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"{n} bigint" for n in names))
+    got = ld.dedup_lines(df)
+    assert got.columns == df.columns
+    assert {r.doc_id: r.text for r in got.collect()} == {0: "ab\n\n  \ncd", 1: "\nabc\n" + "x" * 30, 2: "  "}
+    assert all(tuple(r)[2:] == (r.doc_id,) * len(names) for r in got.collect())
