@@ -47,7 +47,7 @@ def op4_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_fit.best_fit(_table(spark, sf_dir, "documents"))
+    return best_fit.best_fit(_table(spark, sf_dir, "documents"), tokenizer=tokenizer_path("word_bpe_49k.json"))
 
 
 def op6_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

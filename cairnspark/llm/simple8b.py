@@ -286,6 +286,14 @@ class Words(dict):
         upto = np.concatenate([np.zeros(1, np.int64), ends])[np.cumsum(per_text)]
         return table[at], np.diff(upto, prepend=0)
 
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """How many ids :meth:`encode` makes of each text."""
+        split = pc.ascii_split_whitespace(texts)
+        words = pc.list_flatten(split).dictionary_encode()
+        size = np.fromiter((len(self[w]) // 4 for w in words.dictionary.to_pylist()), np.int64, len(words.dictionary))
+        upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(size[words.indices.to_numpy(zero_copy_only=False)])])
+        return np.diff(upto[np.cumsum(pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False))], prepend=0)
+
 
 _words: dict[str, Words] = {}
 

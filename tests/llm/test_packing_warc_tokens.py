@@ -16,28 +16,64 @@ from .conftest import SMALL
 
 
 def brute_pack(lengths, capacities, cost):
-    bins, to_come = [], sum(lengths)
-    where = {}
-    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+    bins, where = [], {}
+    order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
+    for k, i in enumerate(order):
         n = lengths[i]
         fits = [(cap - used, b) for b, (cap, used) in enumerate(bins) if cap - used >= n and cap > used]
         if fits:
             b = min(fits)[1]
         else:
-            cap = min((c for c in sorted(capacities) if c >= n), key=lambda c: ((c + cost) / max(n, min(c, to_come), 1), c))
+            best = []
+            for cap in sorted(capacities):
+                if cap >= n:
+                    held = n
+                    for j in order[k + 1 :]:
+                        held += lengths[j] if held + lengths[j] <= cap else 0
+                    best.append((cost(cap) / max(1, held), cap))
             b = len(bins)
-            bins.append((cap, 0))
+            bins.append((min(best)[1], 0))
         where[i] = (b, bins[b][1])
         bins[b] = (bins[b][0], bins[b][1] + n)
-        to_come -= n
     return [where[i][0] for i in range(len(lengths))], [where[i][1] for i in range(len(lengths))], [min(c for c in capacities if c >= u) for _, u in bins]
 
 
-@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("seed", range(8))
 def test_pack_matches_brute_force(seed):
     rng = random.Random(seed)
     lengths = [rng.choice([0, 1, 5, 16, 31, 64, rng.randint(1, 64)]) for _ in range(rng.randint(0, 200))]
-    assert best_fit.pack(lengths, (8, 16, 64), 3) == brute_pack(lengths, (8, 16, 64), 3)
+    cost = [lambda c: 3 + c + c * c / 50, lambda c: 1 + c][seed % 2]
+    assert best_fit.pack(lengths, (8, 16, 64), cost) == brute_pack(lengths, (8, 16, 64), cost)
+
+
+def test_sizes_are_chosen_together():
+    """Many sizes open (a full 512 costs more a token than a full 1024), and cost
+    less than one size does."""
+    rng = random.Random(1)
+    lengths = [min(8192, int(rng.lognormvariate(6, 1.3)) + 1) for _ in range(4000)]
+    of = lambda sizes: sum(map(best_fit.sequence_cost, sizes))
+    mixed = best_fit.pack(lengths)[2]
+    assert all(mixed.count(c) >= 100 for c in best_fit.CAPACITIES[1:])
+    assert sum(lengths) / sum(mixed) > 0.97
+    assert of(mixed) < 0.96 * of(best_fit.pack(lengths, (8192,))[2])
+    # and no set of sizes without some of them does better by more than a hair
+    assert all(of(mixed) < 1.005 * of(best_fit.pack(lengths, best_fit.CAPACITIES[k:])[2]) for k in range(1, 5))
+
+
+def test_token_lengths_and_hot_rows(docs, spark):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    tok, got = Tokenizer.from_file(path), {}
+    for r in best_fit.best_fit(docs, tokenizer=path).collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + r.length
+    assert got == {r.doc_id: len(tok.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in docs.collect()}
+    same = spark.range(500).selectExpr("cast(if(id < 400, null, 7) as bigint) as doc_id", "'five words are in here' as text")
+    rows = best_fit.best_fit(same, group_rows=30).collect()
+    assert sorted((r.doc_id or 0, r.length) for r in rows) == [(0, 6)] * 400 + [(7, 6)] * 100
+    groups = [r.bin.split("-")[0] for r in rows]
+    assert len(set(groups)) > 12 and max(map(groups.count, groups)) < 70
+    assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, best_fit.best_fit(same.orderBy(F.desc("id")), group_rows=30).collect()), key=str)
 
 
 def check_packed(df, **kw):
