@@ -63,7 +63,9 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str, categories: tuple[str
 def _scaled(dim: int, lo: int, hi: int) -> Column:
     """Dimension ``dim`` within [lo, hi] as a DIM_BITS integer, order kept."""
     span = max(1, hi - lo)
-    x = (F.col(f"d{dim}") - F.lit(lo)).cast("double") * F.lit(((1 << DIM_BITS) - 1) / span)
+    wide = span >> 63  # ids that a difference of two bigints cannot hold
+    off = F.col(f"d{dim}").cast("double") - F.lit(float(lo)) if wide else (F.col(f"d{dim}") - F.lit(lo)).cast("double")
+    x = off * F.lit(((1 << DIM_BITS) - 1) / span)
     return F.least(F.greatest(F.floor(x), F.lit(0)), F.lit((1 << DIM_BITS) - 1)).cast("bigint")
 
 
@@ -181,7 +183,7 @@ def kd_shards(
 
     Edge cases: a null text counts as no bytes (size 8) and has the CRC of the
     empty string; null ids sort first; null or missing metadata columns count
-    as one category; repeated rows each get their own slot, in any order among
+    as one category; ids may be any bigint; repeated rows each get their own slot, in any order among
     themselves, though rows equal in id and text go to one side of every split,
     as no key tells them apart. An empty table gives no rows. More shards than rows leave shards
     empty. Other columns are ignored, whatever their names.

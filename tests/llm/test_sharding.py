@@ -46,3 +46,49 @@ def test_target_bytes(spark):
     df = spark.range(1000).selectExpr("id as doc_id", "repeat('x', 92) as text")
     got = kd.kd_shards(df, n_shards=None, target_bytes=10_000).groupBy("shard").sum("size").collect()
     assert len(got) == 10 and all(abs(r[1] - 10_000) <= 200 for r in got)
+
+
+def brute_force(rows, shards):
+    """(doc_id, size, crc) -> shard by sorting each node's rows, one at a time."""
+    out, root = [], [max(1, max(r[f"d{i}"] for r in rows) - min(r[f"d{i}"] for r in rows)) for i in range(4)]
+
+    def split(rows, first, shards):
+        if shards == 1 or not rows:
+            out.extend(((r.doc_id, r["size"], r.text_crc32), first) for r in rows)
+            return
+        lo, hi = [min(r[f"d{i}"] for r in rows) for i in range(4)], [max(r[f"d{i}"] for r in rows) for i in range(4)]
+        dim = max(range(4), key=lambda i: ((hi[i] - lo[i]) / root[i], -i))
+        most = (1 << kd.DIM_BITS) - 1
+
+        def key(r):
+            return min(most, int((r[f"d{dim}"] - lo[dim]) * (most / max(1, hi[dim] - lo[dim])))), r.tie
+
+        keys, want, before = defaultdict(int), sum(r["size"] for r in rows) * (shards // 2) / shards, 0
+        for r in rows:
+            keys[key(r)] += r["size"]
+        for cut in sorted(keys):
+            if before + keys[cut] > want:
+                break
+            before += keys[cut]
+        with_it = before + keys[cut] / 2 <= want
+        left = [r for r in rows if key(r) < cut or with_it and key(r) == cut]
+        ids = set(map(id, left))
+        split(left, first, shards // 2)
+        split([r for r in rows if id(r) not in ids], first + shards // 2, shards - shards // 2)
+
+    split(rows, 0, shards)
+    return sorted(out, key=str)
+
+
+def test_tree_matches_brute_force(spark, docs):
+    for df, n in ((docs, 5), (spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), 24)):
+        meta = kd._prepared(df, "doc_id", "text", ("source", "lang")).collect()
+        got = sorted((((r.doc_id, r["size"], r.text_crc32), r.shard) for r in kd.kd_shards(df, n_shards=n).collect()), key=str)
+        assert got == brute_force(meta, n)
+
+
+def test_ids_of_64_bits(spark):
+    ends = [-(2**63), 2**63 - 1, None, 0]
+    df = spark.createDataFrame([(i, "x" * 50) for i in ends], "doc_id bigint, text string")
+    df = df.union(spark.range(400).selectExpr("xxhash64(id) as doc_id", "repeat('y', 92) as text"))
+    check(df, 7)
