@@ -29,10 +29,11 @@ def op1_iblt_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page of a replica set with its verdict: the replica has suffered
     bit rot (see ``decayed``), which the audit has to locate."""
-    records = materialize(warc_fixity.to_warc(_table(spark, sf_dir, "pages")), "warc-replica")
-    faults = materialize(warc_fixity.audit(records, warc_fixity.decayed(records)), "warc-faults")
+    records = materialize(warc_fixity.inventory(_table(spark, sf_dir, "pages"), replica=warc_fixity.decayed), "warc-records")
+    replica = records.drop("digest").withColumnRenamed("copied", "digest")
+    faults = materialize(warc_fixity.audit(records.drop("copied"), replica), "warc-faults")
     found = faults.select("file", F.col("idx").alias("seq"), "fault")
-    return records.drop("block").join(found, ["file", "seq"], "left").select("page_id", "length", F.coalesce("fault", F.lit("ok")).alias("verdict"))
+    return records.join(found, ["file", "seq"], "left").select("page_id", "length", F.coalesce("fault", F.lit("ok")).alias("verdict"))
 
 
 def op3_cross_parsing_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """WARC fixity audit with Merkle trees over records and offset ranges.
 
-A replica is a table of WARC records (file, offset, block). Each record becomes
-a leaf: SHA-256 over its offset, length and block. Leaves in offset order form
-a tree of FANOUT children a node per file; a node's hash also covers the offset
+A replica is a table of WARC records (file, offset, block or its SHA-256). Each
+record becomes a leaf: SHA-256 over its offset, length and block's digest, so
+blocks are read once, where they lie, and never shuffled. Leaves in offset order
+form a tree of FANOUT children a node per file; a node's hash also covers the offset
 range that it spans. Two replicas are compared at the roots, and only children
 of mismatching nodes are compared further down, so a clean file costs one row
 and a corrupt record one path.
@@ -10,16 +11,19 @@ and a corrupt record one path.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_of, id_bounds, materialize
+from .common import bucket_of, id_bounds, long_array, materialize
 
 FANOUT = 16
-#: Records to a WARC file, about.
+#: Records to a WARC file, at most.
 FILE_RECORDS = 2000
-#: More files than this share one numbering pass; bounds what the driver plans.
-MAX_FILES = 4096
+#: Ranges of ids that are numbered side by side; bounds what the driver plans.
+#: Files grow with the records, and so does what is numbered in a range.
+MAX_RANGES = 4096
 
 
 def warc_block(url: Column, body: Column) -> Column:
@@ -35,39 +39,69 @@ def warc_block(url: Column, body: Column) -> Column:
     return F.concat(head.cast("binary"), payload, F.lit(b"\r\n\r\n"))
 
 
+def _placed(rows: DataFrame, n_files: int | None) -> DataFrame:
+    """``rows`` (page_id, length, digest, ...) with file, seq and offset: by id
+    (nulls first), then digest. A file holds FILE_RECORDS records of a range of
+    ids, or a range itself where ``n_files`` ranges are asked for."""
+    ranges = n_files or min(MAX_RANGES, max(1, -(-rows.select("page_id").count() // FILE_RECORDS)))
+    rows = rows.withColumn("range", bucket_of(F.col("page_id"), id_bounds(rows, "page_id", ranges)))
+    own = Window.partitionBy("range").orderBy(F.col("page_id").asc_nulls_first(), "digest")
+    rows = rows.withColumn("n", F.row_number().over(own).cast("bigint") - 1)
+    if n_files:
+        rows = rows.withColumn("file", F.col("range")).withColumn("seq", F.col("n"))
+    else:
+        sizes = {r["range"]: r["n"] for r in rows.groupBy("range").agg(F.count(F.lit(1)).alias("n")).collect()}
+        first, at = [], 0
+        for k in range(max(sizes, default=-1) + 1):
+            first.append(at)
+            at += -(-sizes.get(k, 0) // FILE_RECORDS)
+        of = F.get(long_array(first), F.col("range")) if first else F.lit(0)
+        rows = rows.withColumn("file", (of + F.floor(F.col("n") / FILE_RECORDS)).cast("bigint")).withColumn("seq", F.col("n") % FILE_RECORDS)
+    before = Window.partitionBy("range", "file").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("bigint")).drop("range", "n")
+
+
+def _records(pages: DataFrame, id_col: str, url_col: str, body_col: str) -> DataFrame:
+    rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), warc_block(F.col(url_col), F.col(body_col)).alias("block"))
+    return rows.withColumn("length", F.length("block").cast("bigint"))
+
+
 def to_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", n_files: int | None = None) -> DataFrame:
-    """Pages as WARC records: file, seq, page_id, offset, length, block.
+    """Pages as WARC records: file, seq, page_id, offset, length, block, for
+    writing files; :func:`inventory` has the same records without the blocks.
 
     Files hold contiguous ids; within a file records stand by id (nulls first),
     then by content. Offsets are running byte sums. Null urls and bodies are
-    empty; repeated rows are records of their own.
+    empty; repeated rows are records of their own; an empty table gives none.
+    Blocks travel with the records to their files.
     """
-    rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), warc_block(F.col(url_col), F.col(body_col)).alias("block"))
-    if n_files is None:
-        n_files = min(MAX_FILES, max(1, -(-pages.select(id_col).count() // FILE_RECORDS)))
-    rows = rows.withColumn("file", bucket_of(F.col("page_id"), id_bounds(rows, "page_id", n_files)))
-    rows = rows.withColumn("length", F.length("block").cast("bigint")).withColumn("order", F.sha2("block", 256))
-    # numbered without the blocks, which only meet their numbers again by hash
-    w = Window.partitionBy("file").orderBy(F.col("page_id").asc_nulls_first(), "order")
-    return rows.select(
-        "file",
-        F.row_number().over(w).cast("bigint").alias("n"),
-        "page_id",
-        F.coalesce(F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint").alias("offset"),
-        "length",
-        "block",
-    ).withColumn("seq", F.col("n") - 1).drop("n")
+    rows = _records(pages, id_col, url_col, body_col).withColumn("digest", F.sha2("block", 256))
+    return _placed(rows, n_files).select("file", "seq", "page_id", "offset", "length", "block")
+
+
+def inventory(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", n_files: int | None = None, replica: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Records as in :func:`to_warc`, with the block's SHA-256 (digest) in its
+    place, taken where the block is read. ``replica`` makes another copy of the
+    records (page_id, length, block), whose blocks' digests are ``copied``."""
+    rows = _records(pages, id_col, url_col, body_col)
+    rows = rows.withColumn("digest", F.sha2("block", 256))
+    out = ["file", "seq", "page_id", "offset", "length", "digest"]
+    if replica:
+        rows, out = replica(rows).withColumn("copied", F.sha2("block", 256)), [*out, "copied"]
+    return _placed(rows.drop("block"), n_files).select(*out)
 
 
 def leaves(records: DataFrame) -> DataFrame:
-    """(file, idx, start, stop, hash) of records (file, seq, offset, length, block)."""
-    head = F.concat_ws(",", F.col("offset").cast("string"), F.col("length").cast("string")).cast("binary")
+    """(file, idx, start, stop, hash) of records (file, seq, offset, length,
+    block or digest): the hash is over offset, length and the block's digest."""
+    head = F.concat_ws(",", F.col("offset").cast("string"), F.col("length").cast("string"))
+    digest = F.col("digest") if "digest" in records.columns else F.sha2(F.coalesce("block", F.lit(b"")), 256)
     return records.select(
         "file",
         F.col("seq").alias("idx"),
         F.col("offset").alias("start"),
         (F.col("offset") + F.col("length")).alias("stop"),
-        F.sha2(F.concat(head, F.lit(b":"), F.coalesce("block", F.lit(b""))), 256).alias("hash"),
+        F.sha2(F.concat(head, F.lit(":"), digest).cast("binary"), 256).alias("hash"),
     )
 
 

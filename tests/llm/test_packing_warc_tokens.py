@@ -149,6 +149,31 @@ def test_offsets_and_bytes(spark):
     assert warc_fixity.audit(empty, empty).count() == 0
 
 
+def test_inventory_is_the_records_without_blocks(spark, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(warc_fixity, "FILE_RECORDS", 7)
+    monkeypatch.setattr(warc_fixity, "MAX_RANGES", 2)
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet")
+    pages = pages.union(pages.limit(5)).union(spark.createDataFrame([(None, None, "x"), (None, "u", None)], pages.schema))
+    whole = warc_fixity.to_warc(pages).collect()
+    digest = lambda b: hashlib.sha256(bytes(b)).hexdigest()
+    want = sorted(str((r.file, r.seq, r.page_id, r.offset, r.length, digest(r.block))) for r in whole)
+    assert sorted(str(tuple(r)) for r in warc_fixity.inventory(pages).collect()) == want
+    files = {}
+    for r in sorted(whole, key=lambda r: (r.file, r.seq)):
+        files.setdefault(r.file, []).append(r)
+    assert sorted(files) == list(range(len(files))) and 7 < len(files) <= 10
+    at = None
+    for f in sorted(files):
+        assert [r.seq for r in files[f]] == list(range(len(files[f]))) and len(files[f]) <= 7
+        assert [r.offset for r in files[f]] == [sum(x.length for x in files[f][:i]) for i in range(len(files[f]))]
+        for r in files[f]:
+            now = (r.page_id is not None, r.page_id or 0, digest(r.block))
+            assert at is None or at <= now
+            at = now
+
+
 def test_decay_changes_one_byte(spark):
     a = warc_fixity.to_warc(spark.read.parquet(f"{SMALL}/pages.parquet"), n_files=1).cache()
     b = {r.page_id: bytes(r.block) for r in warc_fixity.decayed(a).collect()}
