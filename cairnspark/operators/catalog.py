@@ -18,23 +18,31 @@ def find_file(files: DataFrame, names: DataFrame) -> DataFrame:
     path is the name or ends with it. (name, path, size, file_hash_hex), null
     where there is none.
 
-    A path's last part is an equality; the join runs on it, and the full suffix
-    is the residual. Names whose part before the last ``/`` ends anywhere in a
-    path segment are covered, as are bare suffixes of a last part, which are
-    tried by length.
+    A name is cut before its first ``/`` into the end of one path segment and a
+    rest of whole segments (none for a bare name). Paths are cut likewise, at
+    each of their segments, and reduced to the first of each (segment, rest), so
+    a file name that every folder has is one row; then to the ends of segments
+    as long as those asked for (a rest asks for a few lengths, and a segment has
+    at most 255), which meet the names by equality.
     """
-    last = F.element_at(F.split("path", "/"), -1)
-    listed = files.withColumn("__last", last)
-    wanted = names.select("name").distinct().withColumn("__want", F.element_at(F.split("name", "/"), -1))
-    # suffixes of the last part, one row a length that some name has
-    lengths = [r["n"] for r in wanted.filter("not contains(name, '/')").select(F.length("__want").alias("n")).distinct().collect()]
-    exact = wanted.filter("contains(name, '/')").join(listed, F.col("__want") == F.col("__last"))
-    sizes = F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>")
-    tails = listed.withColumn("n", F.explode(sizes)).filter(F.length("__last") >= F.col("n")).withColumn("__tail", F.expr("right(__last, n)"))
-    bare = wanted.filter("not contains(name, '/')").join(tails, F.col("__want") == F.col("__tail"))
+    wanted = names.select("name").distinct().withColumn("rest", F.regexp_extract("name", "/(.*)$", 1)).withColumn("bare", ~F.contains("name", F.lit("/")))
+    wanted = wanted.withColumn("end", F.substring_index("name", "/", 1)).withColumn("n", F.length("end"))
     at = F.struct("ord", "path", "size", "file_hash_hex")
-    hits = exact.filter(F.col("path").endswith(F.col("name"))).select("name", at.alias("f")).union(bare.select("name", at.alias("f")))
-    first = hits.groupBy("name").agg(F.min("f").alias("f"))
+    parts = F.split("path", "/")
+    cuts = F.transform(
+        F.sequence(F.lit(1), F.size(parts)),
+        lambda i: F.struct(F.get(parts, i - 1).alias("segment"), F.array_join(F.slice(parts, i + 1, F.size(parts)), "/").alias("rest"), (i == F.size(parts)).alias("bare")),
+    )
+    listed = files.filter("path is not null").select(at.alias("f"), F.explode(cuts).alias("c")).groupBy("c.segment", "c.rest", "c.bare").agg(F.min("f").alias("f"))
+
+    def ends(rows: DataFrame, lengths: DataFrame, on: list[str]) -> DataFrame:
+        rows = rows.join(lengths, on).withColumn("n", F.explode("ns")).filter(F.length("segment") >= F.col("n"))
+        return rows.groupBy("rest", "bare", F.expr("right(segment, n)").alias("end")).agg(F.min("f").alias("f"))
+
+    # of bare names there is one set of lengths, in one row
+    bare = ends(listed.filter("bare"), F.broadcast(wanted.filter("bare").groupBy("bare").agg(F.collect_set("n").alias("ns"))), ["bare"])
+    deep = ends(listed.filter("not bare"), wanted.filter("not bare").groupBy("rest").agg(F.collect_set("n").alias("ns")), ["rest"])
+    first = wanted.join(bare.union(deep), ["rest", "bare", "end"]).select("name", "f")
     return names.select("name").join(first, "name", "left").select("name", "f.path", "f.size", "f.file_hash_hex")
 
 
@@ -64,11 +72,15 @@ def ensure_namespace(known: DataFrame, asked: DataFrame) -> DataFrame:
 
 def put_if_absent(store: DataFrame, rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The rows with ``was_inserted``: true for the first row (by ``order``) of
-    a key that the store lacks. What to append is the rows that have it."""
-    first = rows.groupBy(key).agg(F.min(F.struct(*order)).alias("__first"))
-    held = store.select(F.col(key).alias("__key")).distinct()
-    got = rows.join(first, key).join(held, F.col(key) == F.col("__key"), "left")
-    return got.withColumn("was_inserted", F.col("__key").isNull() & (F.struct(*order) == F.col("__first"))).drop("__first", "__key")
+    a key that the store lacks; of rows equal in all of these for one. What to
+    append is the rows that have it. A null key is a key like any other."""
+    first = rows.groupBy(key).agg(F.min(F.struct(*order)).alias("__first")).withColumnRenamed(key, "__of")
+    held = store.select(F.col(key).alias("__key"), F.lit(True).alias("__held")).distinct()
+    own = Window.partitionBy(key, *order).orderBy(F.lit(0))  # rows that repeat, no hot key's
+    got = rows.withColumn("__copy", F.row_number().over(own))
+    got = got.join(first, F.col(key).eqNullSafe(F.col("__of"))).join(held, F.col(key).eqNullSafe(F.col("__key")), "left")
+    new = F.col("__held").isNull() & F.struct(*order).eqNullSafe(F.col("__first")) & (F.col("__copy") == 1)
+    return got.withColumn("was_inserted", new).drop("__of", "__first", "__key", "__held", "__copy")
 
 
 def registration_lines(entries: DataFrame) -> DataFrame:

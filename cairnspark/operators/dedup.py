@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,10 +15,13 @@ def first_occurrences(chunks: DataFrame, order: tuple[str, ...] = ("file_id", "c
 
 
 def mark_duplicates(chunks: DataFrame, order: tuple[str, ...] = ("file_id", "chunk_index")) -> DataFrame:
-    """The chunks with ``is_new``: whether the row is its hash's first."""
+    """The chunks with ``is_new``: whether the row is its hash's first; of rows
+    that repeat (a file listed twice) one is."""
     first = first_occurrences(chunks, order).select("chunk_hash", "first")
     at = F.struct(*[F.col(x) for x in order])
-    return chunks.join(first, "chunk_hash").withColumn("is_new", at == F.col("first")).drop("first")
+    own = Window.partitionBy("chunk_hash", *order).orderBy(F.lit(0))  # rows that repeat, no hot hash's
+    got = chunks.withColumn("copy", F.row_number().over(own)).join(first, "chunk_hash")
+    return got.withColumn("is_new", (at == F.col("first")) & (F.col("copy") == 1)).drop("first", "copy")
 
 
 def chunk_stats(marked: DataFrame, *by: str) -> DataFrame:

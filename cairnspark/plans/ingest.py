@@ -1,4 +1,4 @@
-"""Files to xorbs, shard tables and file hashes, as one lazy plan."""
+"""Files to xorbs, shard tables and file hashes."""
 
 from __future__ import annotations
 
@@ -12,12 +12,13 @@ from ..operators.chunking import chunk_files
 from ..operators.dedup import chunk_stats, first_occurrences, mark_duplicates
 from ..operators.merkle import file_hashes
 from ..operators.packing import assign_xorbs, build_xorbs, file_segments, xorb_chunks
+from ..shared import keep
 
 
 @dataclass
 class Ingested:
-    """The tables of an ingest. All are lazy; write ``xorbs`` before what
-    refers to them (see :class:`Store`)."""
+    """The tables of an ingest. Write ``xorbs`` before what refers to them (see
+    :class:`Store`)."""
 
     chunks: DataFrame
     unique: DataFrame
@@ -36,6 +37,7 @@ def ingest(
     cap: int = c.XORB_CAP,
     known: DataFrame | None = None,
     dedup: bool = True,
+    once: bool = True,
     **chunking,
 ) -> Ingested:
     """Chunk, hash, dedup, pack and serialise files.
@@ -44,14 +46,19 @@ def ingest(
     ``known`` (chunk_hash, xorb_hash, xorb_chunk, size) lists chunks that are
     stored already. ``dedup=False`` packs every occurrence, file by file. An
     empty or null content has no chunks, the zero hash and no segments.
+
+    Files are chunked and xorbs built once: both are kept in the shared folder,
+    and all tables follow from their metadata columns. ``once=False`` keeps
+    nothing; each table that is read then repeats what it rests on.
     """
-    chunks = chunk_files(files, id_col, data_col, algorithm, **chunking)
+    kept = keep if once else lambda df, _: df
+    chunks = kept(chunk_files(files, id_col, data_col, algorithm, **chunking), "chunks")
     meta = chunks.select("file_id", "chunk_index", "chunk_hash", "size")
     unique = first_occurrences(meta).select("chunk_hash", "size", "copies", F.col("first.file_id").alias("file_id"), F.col("first.chunk_index").alias("chunk_index"))
     if known is not None:
         unique = unique.join(known.select("chunk_hash"), "chunk_hash", "left_anti")
     stored = unique.select("file_id", "chunk_index", "chunk_hash", "size") if dedup else meta
-    xorbs = build_xorbs(assign_xorbs(stored, cap), chunks, codec)
+    xorbs = kept(build_xorbs(assign_xorbs(stored, cap), chunks, codec), "xorbs")
     index = xorb_chunks(xorbs)
     places = index.groupBy("chunk_hash").agg(F.min(F.struct("xorb_hash", "chunk_index")).alias("at"), F.min("size").alias("size"))
     places = places.select("chunk_hash", F.col("at.xorb_hash").alias("xorb_hash"), F.col("at.chunk_index").alias("xorb_chunk"), "size")

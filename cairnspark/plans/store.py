@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.catalog import latest_entries, put_if_absent
 from ..operators.reconstruct import reconstruct, reconstruct_range
+from ..shared import exists, keep
 from .ingest import Ingested, ingest
 
 SCHEMAS = {
@@ -22,22 +22,24 @@ SCHEMAS = {
 
 class Store:
     """Tables are folders of Parquet under ``path``, appended to and never
-    rewritten. A commit writes xorbs, then their chunks, then segments, then
-    names, so that what a reader can see never refers to what is not there; a
-    commit that fails half-way leaves unused xorbs at worst, and running it
-    again adds nothing twice."""
+    rewritten. Each commit writes its rows of every table, then one row to the
+    table of commits; rows are read if their commit is there. A commit that
+    fails anywhere before that is as if it had not been (its files stay, unread),
+    and running it again adds nothing twice. One writer at a time."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}")
-        except AnalysisException:
+        """The rows of all commits."""
+        if not exists(self.spark, f"{self.path}/commits") or not exists(self.spark, f"{self.path}/{name}"):
             return self.spark.createDataFrame([], SCHEMAS[name])
+        done = self.spark.read.schema("commit string").parquet(f"{self.path}/commits")
+        rows = self.spark.read.schema(f"{SCHEMAS[name]}, commit string").parquet(f"{self.path}/{name}")
+        return rows.join(done, "commit", "left_semi").drop("commit")
 
-    def _append(self, name: str, rows: DataFrame) -> None:
-        rows.select(*[F.col(f.split()[0]) for f in SCHEMAS[name].split(", ")]).write.mode("append").parquet(f"{self.path}/{name}")
+    def _append(self, name: str, commit: str, rows: DataFrame) -> None:
+        rows.select(*[F.col(f.split()[0]) for f in SCHEMAS[name].split(", ")]).write.parquet(f"{self.path}/{name}/commit={commit}")
 
     def known(self) -> DataFrame:
         """One place of each stored chunk, as :func:`ingest` takes it."""
@@ -52,24 +54,16 @@ class Store:
         return self.commit(done, namespace, version)
 
     def commit(self, done: Ingested, namespace: str, version: int = 0) -> DataFrame:
-        staged = f"{self.path}/_staged/{uuid.uuid4().hex}"
-        for name, rows in (("xorbs", done.xorbs), ("hashes", done.hashes)):
-            rows.write.parquet(f"{staged}/{name}")
-        xorbs = self.spark.read.parquet(f"{staged}/xorbs")
-        new = put_if_absent(self.table("xorbs"), xorbs.dropDuplicates(["xorb_hash"]), "xorb_hash", ["xorb_hash"]).filter("was_inserted")
-        # new xorbs' chunks first get a folder of their own: the anti-join must
-        # not read the table that it is appended to
-        new.write.parquet(f"{staged}/new")
-        new = self.spark.read.parquet(f"{staged}/new")
-        self._append("xorbs", new)
-        self._append("xorb_chunks", new.select("xorb_hash", F.explode("chunks").alias("c")).select("xorb_hash", "c.*"))
-        hashes = self.spark.read.parquet(f"{staged}/hashes")
-        marked = put_if_absent(self.table("file_segments"), hashes, "file_hash", ["file_id"])
-        marked.write.parquet(f"{staged}/marked")
-        marked = self.spark.read.parquet(f"{staged}/marked")
-        segments = done.segments.join(marked.filter("was_inserted").select("file_id", "file_hash"), "file_id")
-        self._append("file_segments", segments)
-        self._append("catalog", hashes.select(F.lit(namespace).alias("namespace"), F.col("file_id").cast("string").alias("path"), F.col("file_size").alias("size"), "file_hash", F.lit(version).cast("bigint").alias("version"), F.lit(0).cast("bigint").alias("mtime")))
+        commit = uuid.uuid4().hex
+        held = self.table("xorbs").select("xorb_hash")
+        new = done.xorbs.dropDuplicates(["xorb_hash"]).join(held, "xorb_hash", "left_anti")
+        self._append("xorbs", commit, new)
+        index = done.xorb_chunks.dropDuplicates(["xorb_hash", "chunk_index"]).join(held, "xorb_hash", "left_anti")
+        self._append("xorb_chunks", commit, index)
+        marked = keep(put_if_absent(self.table("file_segments"), done.hashes, "file_hash", ["file_id"]), "marked")
+        self._append("file_segments", commit, done.segments.join(marked.filter("was_inserted").select("file_id", "file_hash"), "file_id"))
+        self._append("catalog", commit, marked.select(F.lit(namespace).alias("namespace"), F.col("file_id").cast("string").alias("path"), F.col("file_size").alias("size"), "file_hash", F.lit(version).cast("bigint").alias("version"), F.lit(0).cast("bigint").alias("mtime")))
+        self.spark.createDataFrame([(commit,)], "commit string").coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
         return marked
 
     def names(self) -> DataFrame:

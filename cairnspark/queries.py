@@ -11,7 +11,7 @@ from . import functions as fn
 from . import operators as op
 from .operators.catalog import numbered, registration_lines
 from .plans import convert_stats, ingest
-from .shared import fresh_dir
+from .shared import fresh_dir, keep
 from .sources import fetch_infos, parse_listing, parse_reconstruction, terms_of, to_reconstruction_json
 from .streaming import append_new_chunks, stream_chunks
 
@@ -197,10 +197,10 @@ def _conversation_tables(spark: SparkSession, sf_dir: str, codec: str = "none")
     turns = _table(spark, sf_dir, "conversations").filter("text <> ''")
     chunks = turns.select(F.col("conv_id").alias("file_id"), F.col("turn").cast("int").alias("chunk_index"), fn.data_hash(F.col("text")).alias("chunk_hash"), F.octet_length("text").cast("bigint").alias("size"), F.col("text").cast("binary").alias("data"))
     first = op.first_occurrences(chunks).select("first.file_id", "first.chunk_index", "chunk_hash", "size")
-    xorbs = op.build_xorbs(op.assign_xorbs(first), chunks, codec)
+    xorbs = keep(op.build_xorbs(op.assign_xorbs(first), chunks, codec), "turn-xorbs")
     index = op.xorb_chunks(xorbs)
     places = index.select("chunk_hash", "xorb_hash", F.col("chunk_index").alias("xorb_chunk"), "size")
-    return op.file_segments(chunks, places), index, xorbs
+    return keep(op.file_segments(chunks, places), "turn-segments"), index, xorbs
 
 
 def turn_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

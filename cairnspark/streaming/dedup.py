@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators.chunking import chunk_files
+from ..shared import exists
 
 
 def stream_chunks(files: DataFrame, id_col: str = "file_id", data_col: str = "content", **chunking) -> DataFrame:
@@ -32,40 +33,52 @@ def append_new_chunks(chunks: DataFrame, path: str, checkpoint: str, order: tupl
 
     The store itself is the state: a batch is reduced to first occurrences and
     anti-joined with it, so memory does not grow with what has been seen. Each
-    batch has a folder of its own, which a repeated batch overwrites: exactly
-    once, whatever fails.
+    batch of a query (which its checkpoint identifies) has a folder of its own,
+    which a repeated batch overwrites: exactly once, whatever fails. A store may
+    be filled by any number of queries, one at a time.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        query = json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
         rows = [F.col(x) for x in batch.columns if x != "chunk_hash"]
         first = batch.groupBy("chunk_hash").agg(F.min_by(F.struct(*rows), F.struct(*order)).alias("r")).select("chunk_hash", "r.*")
-        try:
-            held = spark.read.parquet(path).filter(F.col("batch") < number).select("chunk_hash")
-            first = first.join(held, "chunk_hash", "left_anti")
-        except AnalysisException:
-            pass  # the store is still empty
-        first.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if exists(spark, path):
+            held = spark.read.schema("chunk_hash binary, query string, batch bigint").parquet(path)
+            first = first.join(held.filter((F.col("query") != query) | (F.col("batch") != number)).select("chunk_hash"), "chunk_hash", "left_anti")
+        first.write.mode("overwrite").parquet(f"{path}/query={query}/batch={number}")
 
     return chunks.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 class ProgressListener(StreamingQueryListener):
-    """Calls back with (rows done, bytes done or rows known) after each batch,
-    one call at a time, never going back."""
+    """Calls back with (bytes completed, bytes in all) after each batch, one
+    call at a time, never going back. Bytes are the sum of ``size_col`` that the
+    stream reports of itself (see :func:`with_progress`); the total is what the
+    caller knows, or the same number while it knows none."""
 
-    def __init__(self, callback: Callable[[int, int], None]):
-        self.callback, self.done = callback, 0
+    def __init__(self, callback: Callable[[int, int], None], total: int | None = None):
+        self.callback, self.done, self.total = callback, 0, total
 
     def onQueryStarted(self, event) -> None:
         pass
 
     def onQueryProgress(self, event) -> None:
-        self.done += event.progress.numInputRows
-        self.callback(self.done, self.done)
+        seen = event.progress.observedMetrics.get(PROGRESS)
+        self.done += int(seen["bytes"] or 0) if seen else 0
+        self.callback(self.done, max(self.done, self.total or 0))
 
     def onQueryIdle(self, event) -> None:
         pass
 
     def onQueryTerminated(self, event) -> None:
         pass
+
+
+#: Name of the metric that :func:`with_progress` adds.
+PROGRESS = "cairnspark_progress"
+
+
+def with_progress(chunks: DataFrame, size_col: str = "size") -> DataFrame:
+    """The rows, which now tell a :class:`ProgressListener` of their bytes."""
+    return chunks.observe(PROGRESS, F.sum(size_col).alias("bytes"))

@@ -10,7 +10,7 @@ from cairnspark import operators as op
 from cairnspark.kernels import merkle
 from cairnspark.kernels.blake3 import keyed
 from cairnspark.plans import Store, convert_stats, ingest
-from cairnspark.streaming import ProgressListener, append_new_chunks, distinct_chunks, stream_chunks
+from cairnspark.streaming import ProgressListener, append_new_chunks, distinct_chunks, stream_chunks, with_progress
 
 from .test_kernels import ROOTS, leaves, splitmix
 
@@ -198,7 +198,7 @@ def test_hex_functions(spark):
     bad = spark.createDataFrame([("123abc",), ("g" * 64,), (None,)], "t string")
     assert [r[0] for r in bad.select(fn.from_api_hex(F.col("t"), strict=False)).collect()] == [None] * 3
     with pytest.raises(PySparkException, match="InvalidHexLength"):
-        bad.limit(1).select(fn.from_api_hex(F.col("t"))).collect()
+        bad.filter("length(t) = 6").select(fn.from_api_hex(F.col("t"))).collect()
 
 
 def test_headers_and_groups(spark):
@@ -221,10 +221,50 @@ def test_catalog(spark):
     store = spark.createDataFrame([("k1",)], "key string")
     rows = spark.createDataFrame([("k1", 0), ("k2", 1), ("k2", 2)], "key string, o int")
     assert {r.o: r.was_inserted for r in op.put_if_absent(store, rows, "key", ["o"]).collect()} == {0: False, 1: True, 2: False}
+    twice = rows.union(rows).union(spark.createDataFrame([(None, 5), (None, 5)], rows.schema))
+    assert sorted((r.o, r.was_inserted) for r in op.put_if_absent(store, twice, "key", ["o"]).collect()) == [(0, False), (0, False), (1, False), (1, True), (2, False), (2, False), (5, False), (5, True)]
     with pytest.raises(PySparkException, match="InvalidNamespace"):
         op.ensure_namespace(spark.createDataFrame([], "namespace string"), spark.createDataFrame([("plain",)], "namespace string")).collect()
 
 
+def test_repeated_rows_are_new_once(files):
+    chunks = op.chunk_files(files, with_data=False, **SMALL)
+    one, two = op.chunk_stats(op.mark_duplicates(chunks)).first(), op.chunk_stats(op.mark_duplicates(chunks.union(chunks))).first()
+    assert (two.unique_chunks, two.unique_bytes, two.chunks) == (one.unique_chunks, one.unique_bytes, 2 * one.chunks)
+
+
+def test_find_file_matches_brute_force(spark):
+    import itertools
+    import random
+
+    rng = random.Random(0)
+    paths = ["/".join(rng.choice(["a", "ab", "b.c", "config.json", ""]) for _ in range(rng.randint(1, 4))) for _ in range(60)]
+    names = sorted({p[rng.randint(0, len(p)) :] for p in paths for _ in range(4)} - {""}) + ["x/config.json", "/", "b/ab"]
+    files = spark.createDataFrame([(i, p, i, None) for i, p in enumerate(paths)], "ord bigint, path string, size bigint, file_hash_hex string")
+    got = {r.name: (r.path, r.size) for r in op.find_file(files, spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+    assert got == {n: next(itertools.chain(((p, i) for i, p in enumerate(paths) if p.endswith(n)), [(None, None)])) for n in names}
+
+
+def test_a_commit_that_dies_is_as_if_it_had_not_been(spark, files, tmp_path, monkeypatch):
+    store, some = Store(spark, f"file://{tmp_path}/store"), files.filter("file_id in ('a', 'c', 'd')")
+    append = Store._append
+    for dies in ("xorbs", "xorb_chunks", "file_segments", "catalog"):
+
+        def fails(self, name, commit, rows, dies=dies):
+            append(self, name, commit, rows)
+            if name == dies:
+                raise RuntimeError("killed")
+
+        monkeypatch.setattr(Store, "_append", fails)
+        with pytest.raises(RuntimeError):
+            store.put(some, "ns/one", **SMALL)
+        assert all(store.table(t).count() == 0 for t in ("xorbs", "xorb_chunks", "file_segments", "catalog"))
+    monkeypatch.setattr(Store, "_append", append)
+    assert all(r.was_inserted for r in store.put(some, "ns/one", **SMALL).collect())
+    wanted = store.names().filter("size > 0").select("file_hash")
+    assert sorted(bytes(r.content) for r in store.get(wanted).collect()) == sorted([FILES["a"], FILES["c"]])
+
+
 def test_store(spark, files, tmp_path):
     store = Store(spark, f"file://{tmp_path}/store")
     first = {r.file_id: r for r in store.put(files.filter("file_id <> 'b'"), "ns/one", cap=60_000, **SMALL).collect()}
@@ -245,20 +285,24 @@ def test_streaming(spark, files, tmp_path):
     source, store = f"{tmp_path}/in", f"{tmp_path}/store"
     files.filter("file_id in ('a', 'c')").coalesce(1).write.parquet(source)
     seen = []
-    listener = ProgressListener(lambda done, total: seen.append(done))
+    listener = ProgressListener(lambda done, total: seen.append((done, total)), 10**6)
     spark.streams.addListener(listener)
 
-    def run():
+    def run(state="state"):
         rows = spark.readStream.schema(files.schema).parquet(source)
-        append_new_chunks(stream_chunks(rows, **SMALL), store, f"{tmp_path}/state").awaitTermination()
+        append_new_chunks(with_progress(stream_chunks(rows, **SMALL)), store, f"{tmp_path}/{state}").awaitTermination()
 
     run()
     files.filter("file_id not in ('a', 'c')").coalesce(1).write.mode("append").parquet(source)
     run()
     run()  # nothing new
+    run("another state")  # all files again, and the store has their chunks
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(20_000)
     spark.streams.removeListener(listener)
     want = {bytes(r.chunk_hash) for r in op.chunk_files(files, with_data=False, **SMALL).collect()}
     got = [bytes(r.chunk_hash) for r in spark.read.parquet(store).select("chunk_hash").collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert seen == sorted(seen)
+    total = sum(len(v or b"") for v in FILES.values())
+    assert seen[-1] == (2 * total, max(2 * total, 10**6))
     assert distinct_chunks(op.chunk_files(files, **SMALL)).count() == len(want)
