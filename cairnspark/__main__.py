@@ -6,7 +6,8 @@
     python -m cairnspark get STORE NAMESPACE OUT [--file NAME] [--range START END]
 
 ``get`` without ``--file`` brings all files and goes on past those that fail; it
-ends with status 1 if any did. Paths are whatever Spark reads; what ``convert``
+ends with status 1 if any did. Files of over LARGE bytes are written piece by
+piece, and one that fails ends the command. Paths are whatever Spark reads; what ``convert``
 and ``get`` write goes through pyarrow's file systems.
 """
 
@@ -28,15 +29,19 @@ from .sources import read_files, read_gear_table, write_blobs
 from .sources.formats import write_all
 
 
+#: Files of more bytes than this are not made one cell.
+LARGE = 1 << 28
+
+
 def save_files(files: DataFrame, path: str) -> DataFrame:
-    """Write (name, content) rows as files, by the tasks that hold them; the
-    result (name, size) is computed as it is read."""
+    """Write (name, content) rows as files, by the tasks that hold them; rows of
+    a name that follow each other are one file. The result (name, size) is
+    computed as it is read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, data = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            write_all(path, "", zip(names, data, strict=True))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(d) for d in data], pa.int64())], ["name", "size"])
+        rows = ((n.as_py(), d.as_py()) for b in batches for n, d in zip(b.column(0), b.column(1), strict=True))
+        sizes = write_all(path, "", rows)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sizes), pa.string()), pa.array(list(sizes.values()), pa.int64())], ["name", "size"])
 
     return files.select("name", "content").mapInArrow(run, "name string, size bigint")
 
@@ -74,19 +79,23 @@ def get(spark: SparkSession, args: argparse.Namespace) -> int:
     names = store.names().filter((F.col("namespace") == args.namespace) & (F.col("size") > 0))
     if args.file:
         listed = names.select(F.col("path").alias("ord"), "path", "size", F.hex("file_hash").alias("file_hash_hex"))
-        names = find_file(listed, spark.createDataFrame([(args.file,)], "name string")).filter("path is not null").select("path", F.unhex("file_hash_hex").alias("file_hash"))
+        names = find_file(listed, spark.createDataFrame([(args.file,)], "name string")).filter("path is not null").select("path", "size", F.unhex("file_hash_hex").alias("file_hash"))
         if names.isEmpty():
             print(f"no file named {args.file}", file=sys.stderr)
             return 1
-    wanted = names.select("file_hash").distinct()
+    large = names.filter(F.col("size") > (LARGE if not args.range else (1 << 63) - 1))
+    wanted = names.join(large.select("file_hash"), "file_hash", "left_anti").select("file_hash").distinct()
     if args.range:
         ranged = wanted.withColumns({"range_start": F.lit(args.range[0]), "range_end": F.lit(args.range[1])})
         got = store.get_range(ranged, strict=False)
     else:
         got = store.get(wanted, strict=False)
     rows = names.select("path", "file_hash").join(got, "file_hash")
-    saved = save_files(rows.filter("error is null").select(F.regexp_replace("path", "/", "__").alias("name"), "content"), args.out)
+    saved = save_files(rows.filter("error is null").select(F.col("path").alias("name"), "content"), args.out)
     n, total = saved.count(), names.count()
+    for r in large.select("path", "file_hash").toLocalIterator():  # each is a job of its own
+        pieces = store.stream(spark.createDataFrame([(bytes(r["file_hash"]),)], "file_hash binary"))
+        n += save_files(pieces.select(F.lit(r["path"]).alias("name"), F.col("data").alias("content")), args.out).count()
     print(f"{n} of {total} files written")
     return int(n < total)
 

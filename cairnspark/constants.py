@@ -23,7 +23,7 @@ XORB_VERSION = 0
 CODECS = ("none", "lz4", "bg4", "fbs")
 
 # The shard format.
-SHARD_TAG = bytes.fromhex("48465265706f4d6574614461746100556967456a7b815783a5bdd95ccdd14aa9")
+SHARD_TAG = b"HFRepoMetaData\x00UigEj{\x81W\x83\xa5\xbd\xd9\\\xcd\xd1J\xa9"
 SHARD_HEADER, SHARD_FOOTER, SHARD_ENTRY = 48, 200, 48
 SHARD_VERSION, FOOTER_VERSION = 2, 1
 BOOKEND = b"\xff" * 32 + bytes(16)

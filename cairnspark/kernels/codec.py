@@ -60,7 +60,7 @@ def frames(payload: bytes) -> Iterator[Frame]:
     view, at, index = memoryview(payload), 0, 0
     while at < len(view):
         if at + c.CHUNK_HEADER > len(view):
-            raise FormatError("TruncatedHeader")
+            raise FormatError("TruncatedXorb")
         version, packed, codec, size = parse_header(view[at : at + c.CHUNK_HEADER])
         if version != c.XORB_VERSION:
             raise FormatError("UnsupportedVersion")
@@ -70,11 +70,19 @@ def frames(payload: bytes) -> Iterator[Frame]:
             raise FormatError("InvalidChunkSize")
         end = at + c.CHUNK_HEADER + packed
         if end > len(view):
-            raise FormatError("TruncatedData")
+            raise FormatError("TruncatedXorb")
         yield Frame(index, at, end, codec, size, view[at + c.CHUNK_HEADER : end])
         at, index = end, index + 1
 
 
+def chunk_at(payload: bytes, index: int) -> bytes:
+    """Bytes of one chunk; decodes no other."""
+    for f in frames(payload):
+        if f.index == index:
+            return f.data()
+    raise FormatError("ChunkNotFound")
+
+
 def chunk_range(payload: bytes, start: int, stop: int) -> bytes:
     """Bytes of chunks [start, stop); decodes no others."""
     if start >= stop:

@@ -47,7 +47,7 @@ def gear_hashes(data: np.ndarray, table: np.ndarray = RULE_TABLE) -> np.ndarray:
     return h
 
 
-def _candidates(data: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
+def gear_candidates(data: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
     """Ends (exclusive) at which the hash says cut, ascending."""
     out = []
     for s in range(0, len(data), _PIECE):
@@ -68,7 +68,7 @@ def gear_cuts(data: bytes, least: int = MIN_CHUNK, most: int = MAX_CHUNK, bits:
     n = len(data)
     if n <= least:
         return [n] if n else []
-    found = _candidates(np.frombuffer(data, np.uint8), table, bits).tolist()
+    found = gear_candidates(np.frombuffer(data, np.uint8), table, bits).tolist()
     cuts, start = [], 0
     while n - start > least:
         k = bisect_left(found, start + least)
@@ -80,6 +80,36 @@ def gear_cuts(data: bytes, least: int = MIN_CHUNK, most: int = MAX_CHUNK, bits:
     return [*cuts, n]
 
 
+class cuts_of_candidates:
+    """:func:`gear_cuts` as a fold over a file's candidates, which come in
+    order: chunks (index, start, end) as far as they are decided."""
+
+    def __init__(self, n: int, least: int, most: int):
+        if least < 64 or most < least:
+            raise ValueError("chunks are of 64 bytes at least, and least <= most")
+        self.n, self.least, self.most, self.start, self.index = n, least, most, 0, 0
+
+    def _cut(self, end: int) -> tuple[int, int, int]:
+        out = (self.index, self.start, end)
+        self.start, self.index = end, self.index + 1
+        return out
+
+    def add(self, found: Sequence[int]) -> list[tuple[int, int, int]]:
+        out = []
+        for at in found:
+            while at - self.start > self.most and self.start + self.most < self.n:
+                out.append(self._cut(self.start + self.most))
+            if at - self.start >= self.least and at < self.n:
+                out.append(self._cut(at))
+        return out
+
+    def end(self) -> list[tuple[int, int, int]]:
+        out = []
+        while self.start + self.most < self.n:
+            out.append(self._cut(self.start + self.most))
+        return [*out, self._cut(self.n)]
+
+
 # -- UltraCDC, from the published description ------------------------------
 
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -88,7 +118,7 @@ _PATTERN = np.uint8(0xAA)
 _MASK_SMALL, _MASK_LARGE, _LOW_ENTROPY = 0x2F, 0x2C, 64
 
 
-def _ultra_end(data: np.ndarray, least: int, normal: int, most: int) -> int:
+def ultra_end(data: np.ndarray, least: int, normal: int, most: int) -> int:
     n = len(data)
     if n <= least:
         return n
@@ -120,7 +150,7 @@ def ultra_cuts(data: bytes, least: int = MIN_CHUNK, normal: int = NORMAL_CHUNK,
     """Chunk ends by UltraCDC; chunks tile the bytes, the tail included."""
     arr, cuts, start = np.frombuffer(data, np.uint8), [], 0
     while start < len(arr):
-        start += _ultra_end(arr[start : start + most], least, normal, most)
+        start += ultra_end(arr[start : start + most], least, normal, most)
         cuts.append(start)
     return cuts
 

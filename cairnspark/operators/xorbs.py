@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ..kernels.codec import FormatError, chunk_range, frames
+from ..constants import DATA_KEY
+from ..kernels.blake3 import keyed
+from ..kernels.codec import FormatError, chunk_at, chunk_range, frames
 
 FRAMES = "chunk_index int, ser_start bigint, ser_end bigint, codec tinyint, packed_size bigint, size bigint"
 _KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.int8(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
@@ -17,17 +19,28 @@ _NAMES = ["chunk_index", "ser_start", "ser_end", "codec", "packed_size", "size",
 _BATCH_BYTES = 8 << 20
 
 
-def read_xorb(xorbs: DataFrame, id_col: str = "xorb_hash", payload_col: str = "payload", strict: bool = True, decode: bool = True) -> DataFrame:
+def read_xorb(xorbs: DataFrame, id_col: str = "xorb_hash", payload_col: str = "payload", strict: bool = True, decode: bool = True, wanted: str | None = None) -> DataFrame:
     """One row a stored chunk: id, chunk_index, ser_start, ser_end, codec,
     packed_size, size and, if ``decode``, data.
 
+    ``wanted`` names a column of (chunk_index, chunk_hash) structs: only those
+    chunks are decoded and returned, and each that has a hash is held against
+    it (HashMismatch).
+
     Strict: wrong bytes fail the job by the error's name. Else chunks up to the
-    fault are kept and a last row carries the name in ``error``. A null payload
-    has no chunks.
+    fault are kept and a last row carries the name in ``error``; a chunk without
+    its hash is a row without data. A null payload has no chunks.
     """
     kind = xorbs.schema[id_col].dataType.simpleString()
     use = [*range(6), *([6] if decode else []), *([] if strict else [7])]
 
+    def checked(rows: list[tuple], hashes: dict[int, bytes]) -> list[tuple]:
+        known = [r for r in rows if hashes.get(r[0]) is not None and r[6] is not None]
+        bad = {r[0] for r, h in zip(known, keyed(DATA_KEY, [r[6] for r in known]), strict=True) if h != hashes[r[0]]}
+        if bad and strict:
+            raise FormatError("HashMismatch")
+        return [(*r[:6], None, "HashMismatch") if r[0] in bad else r for r in rows]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
@@ -36,6 +49,7 @@ def read_xorb(xorbs: DataFrame, id_col: str = "xorb_hash", payload_col: str = "p
                     continue
                 rows: list[tuple] = []
                 held = 0
+                hashes = {x["chunk_index"]: x["chunk_hash"] for x in batch.column(2)[i].as_py() or ()} if wanted else {}
 
                 def close(rows: list[tuple], i: int = i, batch: pa.RecordBatch = batch) -> pa.RecordBatch:
                     own = batch.column(0).take(pa.array([i] * len(rows), pa.int64()))
@@ -43,27 +57,50 @@ def read_xorb(xorbs: DataFrame, id_col: str = "xorb_hash", payload_col: str = "p
 
                 try:
                     for f in frames(payload):
+                        if wanted and f.index not in hashes:
+                            continue
                         data = f.data() if decode else None
                         rows.append((f.index, f.start, f.end, f.codec, len(f.raw), f.size, data, None))
                         held += f.size if decode else 0
                         if held >= _BATCH_BYTES:
-                            yield close(rows)
+                            yield close(checked(rows, hashes))
                             rows, held = [], 0
+                        if wanted and f.index >= max(hashes):
+                            break
                 except ValueError as e:
                     if strict:
                         raise
                     rows.append((None,) * 7 + (str(e).split(":")[0],))
                 if rows:
-                    yield close(rows)
+                    yield close(checked(rows, hashes))
 
     fields = f"`{id_col}` {kind}, {FRAMES}" + ", data binary" * decode + ", error string" * (not strict)
-    return xorbs.select(id_col, F.col(payload_col).cast("binary").alias("payload")).mapInArrow(run, fields)
+    return xorbs.select(id_col, F.col(payload_col).cast("binary").alias("payload"), *[F.col(x) for x in [wanted] if x]).mapInArrow(run, fields)
+
+
+def read_chunk(xorbs: DataFrame, index: int, id_col: str = "xorb_hash", payload_col: str = "payload", strict: bool = True) -> DataFrame:
+    """(id, data) of chunk ``index`` of each xorb, the only one that is decoded.
+    A xorb too short raises ChunkNotFound; not strict, there is a third column,
+    ``error``. A null payload has null data."""
+
+    @arrow_udf("struct<data: binary, error: string>")
+    def run(payloads: pa.Array) -> pa.Array:
+        return _tried([(lambda p=p: None if p is None else chunk_at(p, index)) for p in payloads.to_pylist()], strict)
+
+    got = xorbs.select(id_col, run(F.col(payload_col).cast("binary")).alias("r"))
+    return got.select(id_col, "r.data") if strict else got.select(id_col, "r.data", "r.error")
 
 
-def read_chunk(xorbs: DataFrame, index: int, id_col: str = "xorb_hash", payload_col: str = "payload") -> DataFrame:
-    """(id, data) of chunk ``index`` of each xorb; xorbs too short have none."""
-    got = read_xorb(xorbs, id_col, payload_col, decode=True)
-    return got.filter(F.col("chunk_index") == index).select(id_col, "data")
+def _tried(todo: list[Callable[[], bytes | None]], strict: bool) -> pa.Array:
+    out = []
+    for f in todo:
+        try:
+            out.append({"data": f(), "error": None})
+        except ValueError as e:
+            if strict:
+                raise
+            out.append({"data": None, "error": str(e).split(":")[0]})
+    return pa.array(out, pa.struct([("data", pa.binary()), ("error", pa.string())]))
 
 
 def extract_range(payload: Column, start: Column, stop: Column, strict: bool = True) -> Column:
@@ -72,15 +109,8 @@ def extract_range(payload: Column, start: Column, stop: Column, strict: bool = T
 
     @arrow_udf("struct<data: binary, error: string>")
     def run(payloads: pa.Array, starts: pa.Array, stops: pa.Array) -> pa.Array:
-        out = []
-        for p, a, b in zip(payloads.to_pylist(), starts.to_pylist(), stops.to_pylist(), strict=True):
-            try:
-                out.append({"data": None if p is None or a is None or b is None else chunk_range(p, a, b), "error": None})
-            except ValueError as e:
-                if strict:
-                    raise
-                out.append({"data": None, "error": str(e).split(":")[0]})
-        return pa.array(out, pa.struct([("data", pa.binary()), ("error", pa.string())]))
+        rows = zip(payloads.to_pylist(), starts.to_pylist(), stops.to_pylist(), strict=True)
+        return _tried([(lambda p=p, a=a, b=b: None if p is None or a is None or b is None else chunk_range(p, a, b)) for p, a, b in rows], strict)
 
     return run(payload.cast("binary"), start.cast("int"), stop.cast("int"))
 

@@ -38,12 +38,14 @@ def ingest(
     known: DataFrame | None = None,
     dedup: bool = True,
     once: bool = True,
+    chunks: DataFrame | None = None,
     **chunking,
 ) -> Ingested:
     """Chunk, hash, dedup, pack and serialise files.
 
     A chunk is stored by the file that has it first, in that file's xorbs.
-    ``known`` (chunk_hash, xorb_hash, xorb_chunk, size) lists chunks that are
+    ``chunks`` brings the chunks of ``files`` (of files too large for a cell, see
+    :func:`chunk_large_files`). ``known`` (chunk_hash, xorb_hash, xorb_chunk, size) lists chunks that are
     stored already. ``dedup=False`` packs every occurrence, file by file. An
     empty or null content has no chunks, the zero hash and no segments.
 
@@ -52,7 +54,8 @@ def ingest(
     nothing; each table that is read then repeats what it rests on.
     """
     kept = keep if once else lambda df, _: df
-    chunks = kept(chunk_files(files, id_col, data_col, algorithm, **chunking), "chunks")
+    made = chunks if chunks is not None else chunk_files(files, id_col, data_col, algorithm, **chunking)
+    chunks = kept(made, "chunks")
     meta = chunks.select("file_id", "chunk_index", "chunk_hash", "size")
     unique = first_occurrences(meta).select("chunk_hash", "size", "copies", F.col("first.file_id").alias("file_id"), F.col("first.chunk_index").alias("chunk_index"))
     if known is not None:

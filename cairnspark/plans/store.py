@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.catalog import latest_entries, put_if_absent
-from ..operators.reconstruct import reconstruct, reconstruct_range
+from ..operators.reconstruct import reconstruct, reconstruct_range, reconstruct_stream
 from ..shared import exists, keep
 from .ingest import Ingested, ingest
 
@@ -81,5 +81,9 @@ class Store:
         ranges = wanted.withColumnRenamed("file_hash", "file_id")
         return reconstruct_range(self._segments(wanted), self.table("xorb_chunks"), self.table("xorbs"), ranges, strict).withColumnRenamed("file_id", "file_hash")
 
+    def stream(self, wanted: DataFrame) -> DataFrame:
+        """(file_hash, offset, data): files of any size as ordered rows."""
+        return reconstruct_stream(self._segments(wanted), self.table("xorb_chunks"), self.table("xorbs")).withColumnRenamed("file_id", "file_hash")
+
     def _segments(self, wanted: DataFrame) -> DataFrame:
         return self.table("file_segments").join(wanted.select("file_hash").distinct(), "file_hash").withColumnRenamed("file_hash", "file_id")

@@ -8,8 +8,9 @@ data sources over pyarrow's file systems (local, S3, GCS, HDFS with its library)
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -105,18 +106,29 @@ class XorbWriter(DataSourceWriter):
         return WriterCommitMessage()
 
 
-def write_all(path: str, ending: str, rows: Iterator[tuple[bytes | str, bytes]]) -> int:
+def write_all(path: str, ending: str, rows: Iterable[tuple[bytes | str, bytes]]) -> dict[bytes | str, int]:
+    """Write (name, bytes) rows as files below ``path``; rows of one name that
+    follow each other are one file. The bytes written, by name."""
     fs, at = pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
     fs.create_dir(at, recursive=True)
-    n = 0
-    for name, payload in rows:
-        own = f"{at}/{api_hex(name) if isinstance(name, bytes) else name}{ending}"
-        part = f"{own}.{os.getpid()}.part"
+    sizes: dict[bytes | str, int] = {}
+    for name, parts in groupby(rows, lambda r: r[0]):
+        own = f"{at}/{api_hex(name) if isinstance(name, bytes) else safe_name(name)}{ending}"
+        fs.create_dir(own.rsplit("/", 1)[0], recursive=True)
+        part, sizes[name] = f"{own}.{os.getpid()}.part", 0
         with fs.open_output_stream(part) as f:
-            f.write(payload)
+            for _, payload in parts:
+                f.write(payload)
+                sizes[name] += len(payload)
         fs.move(part, own)
-        n += 1
-    return n
+    return sizes
+
+
+def safe_name(name: str) -> str:
+    """A stored name as a path below a folder: names that differ stay so, and
+    none leads out of it."""
+    parts = [x.replace("%", "%25") for x in name.split("/")]
+    return "/".join(x.replace(".", "%2E") if x in (".", "..") else x or "%" for x in parts)
 
 
 class XorbSource(DataSource):

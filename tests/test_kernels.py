@@ -274,7 +274,7 @@ def test_chunk_ranges():
 
 def test_broken_xorbs():
     raw, _ = codec.serialize_xorb([b"some bytes"], "none")
-    cases = [(raw[:5], "TruncatedHeader"), (raw[:-1], "TruncatedData"), (b"\x01" + raw[1:], "UnsupportedVersion"), (raw[:4] + b"\x09" + raw[5:], "InvalidCompressionType"), (raw[:5] + bytes(3) + raw[8:], "InvalidChunkSize")]
+    cases = [(raw[:5], "TruncatedXorb"), (raw[:-1], "TruncatedXorb"), (b"\x01" + raw[1:], "UnsupportedVersion"), (raw[:4] + b"\x09" + raw[5:], "InvalidCompressionType"), (raw[:5] + bytes(3) + raw[8:], "InvalidChunkSize")]
     for bad, name in cases:
         with pytest.raises(ValueError, match=name):
             list(codec.frames(bad))

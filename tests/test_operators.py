@@ -118,6 +118,30 @@ def test_ingest_and_reconstruct(files, codec):
     assert b"".join(bytes(r.data) for r in pieces) == FILES["b"]
 
 
+def test_flipped_byte_is_found(files):
+    done = ingest(files, cap=50_000, codec="none", **SMALL)
+    broken = done.xorbs.withColumn("payload", F.when(F.col("file_id") == "c", F.concat(F.substring("payload", 1, 8), F.lit(b"Tiny"))).otherwise(F.col("payload")))
+    got = {r.file_id: (r.error, r.content) for r in op.reconstruct(done.segments, done.xorb_chunks, broken, strict=False).collect()}
+    assert {k: e for k, (e, _) in got.items()} == {"a": None, "b": None, "c": "HashMismatch", "f": None} and got["c"][1] is None
+    with pytest.raises(PySparkException, match="HashMismatch"):
+        op.reconstruct(done.segments, done.xorb_chunks, broken).collect()
+    assert op.reconstruct(done.segments, done.xorb_chunks, broken, verify=False).filter("file_id = 'c'").first().content == b"Tiny"
+
+
+def test_a_range_decodes_its_chunks_alone(files):
+    """Chunks beside the range may be unreadable."""
+    done = ingest(files.filter("file_id = 'a'"), codec="lz4", **SMALL)
+    index = done.xorb_chunks.orderBy("chunk_index").collect()
+    hit = index[3]
+    stored = bytes(done.xorbs.first().payload)
+    heads = b"".join(stored[x.ser_start : x.ser_start + 8] + bytes(x.ser_end - x.ser_start - 8) for x in index[:3])
+    spoiled = done.xorbs.withColumn("payload", F.concat(F.lit(heads), F.expr(f"substring(payload, {hit.ser_start + 1})")))
+    ranges = files.sparkSession.createDataFrame([("a", hit.byte_range_start + 1, hit.byte_range_start + 9)], "file_id string, range_start bigint, range_end bigint")
+    assert op.reconstruct_range(done.segments, done.xorb_chunks, spoiled, ranges).first().content == FILES["a"][hit.byte_range_start + 1 : hit.byte_range_start + 9]
+    with pytest.raises(PySparkException):
+        op.reconstruct(done.segments, done.xorb_chunks, spoiled).collect()
+
+
 def test_lost_xorb_fails_its_files_alone(files):
     done = ingest(files, cap=50_000, **SMALL)
     xorbs = done.xorbs.filter("file_id <> 'f'")
@@ -139,12 +163,15 @@ def test_xorb_reader_modes(spark):
     raw, _ = serialize_xorb([b"one", b"two" * 99], "lz4")
     df = spark.createDataFrame([("good", raw), ("cut", raw[:-3]), ("none", None), ("empty", b"")], "xorb_hash string, payload binary")
     rows = op.read_xorb(df, strict=False).collect()
-    assert [(r.xorb_hash, r.chunk_index, r.error) for r in sorted(rows, key=lambda r: (r[0], r.error or ""))] == [("cut", 0, None), ("cut", None, "TruncatedData"), ("good", 0, None), ("good", 1, None)]
-    with pytest.raises(PySparkException, match="TruncatedData"):
+    assert [(r.xorb_hash, r.chunk_index, r.error) for r in sorted(rows, key=lambda r: (r[0], r.error or ""))] == [("cut", 0, None), ("cut", None, "TruncatedXorb"), ("good", 0, None), ("good", 1, None)]
+    with pytest.raises(PySparkException, match="TruncatedXorb"):
         op.read_xorb(df).collect()
     assert bytes(op.read_chunk(df.filter("xorb_hash = 'good'"), 1).first().data) == b"two" * 99
+    assert {r.xorb_hash: r.error for r in op.read_chunk(df, 1, strict=False).collect()} == {"good": None, "cut": "TruncatedXorb", "none": None, "empty": "ChunkNotFound"}
+    with pytest.raises(PySparkException, match="ChunkNotFound"):
+        op.read_chunk(df.filter("xorb_hash = 'good'"), 2).collect()
     ranged = df.withColumn("r", op.extract_range(F.col("payload"), F.lit(0), F.lit(2), strict=False)).select("xorb_hash", "r.*")
-    assert {r.xorb_hash: r.error for r in ranged.collect()} == {"good": None, "cut": "TruncatedData", "none": None, "empty": "RangeOutOfBounds"}
+    assert {r.xorb_hash: r.error for r in ranged.collect()} == {"good": None, "cut": "TruncatedXorb", "none": None, "empty": "RangeOutOfBounds"}
 
 
 def test_shards(spark):

@@ -95,3 +95,28 @@ def test_sql_functions(spark):
     fn.register(spark)
     got = spark.sql("SELECT hex(cas_bg4(cast('abcdefgh' AS binary))) g, cas_bg4_inverse(cas_bg4(cast('abcde' AS binary))) b, cas_chunk_bounds(cast('xyz' AS binary)) c, length(cas_data_hash(cast('x' AS binary))) n").first()
     assert got.g == bits.group4(b"abcdefgh").hex().upper() and bytes(got.b) == b"abcde" and got.c == [3] and got.n == 32
+
+
+@pytest.mark.parametrize("algorithm", ["gearhash", "ultracdc"])
+@pytest.mark.parametrize("block", [10_000, 65_536, 1 << 26])
+def test_large_files_in_blocks(spark, tmp_path, algorithm, block):
+    kinds = {"a": splitmix(500_000, 9), "deep/zeros": bytes(300_001), "b": b"x" * 70, "empty": b"", "c": splitmix(66_000, 2)}
+    for k, v in kinds.items():
+        (tmp_path / k).parent.mkdir(exist_ok=True)
+        (tmp_path / k).write_bytes(v)
+    small = {"least": 512, "most": 4096, "bits": 9}
+    got = sources.chunk_large_files(spark, f"file://{tmp_path}", algorithm=algorithm, block=block, **small)
+    want = op.chunk_files(sources.read_files(spark, f"file://{tmp_path}"), algorithm=algorithm, **small)
+    rows = lambda df: sorted((r.file_id.split(":")[1].lstrip("/"), *map(str, r[1:])) for r in df.collect())
+    assert got.columns == want.columns and rows(got) == rows(want)
+
+
+def test_parts_of_xorbs(spark, done, tmp_path):
+    sources.write_blobs(done.xorbs.select("xorb_hash", "payload"), str(tmp_path))
+    plan = op.fetch_plan(done.segments, done.xorb_chunks)
+    name = F.concat(F.lit(f"file://{tmp_path}/"), fn.api_hex(F.col("xorb_hash")), F.lit(".xorb"))
+    got = sources.read_xorb_ranges(plan.withColumn("path", name)).collect()
+    whole = {(r.path.split("/")[-1], r.chunk_index): bytes(r.data) for r in sources.read_xorbs(spark, str(tmp_path)).collect()}
+    assert got and all(whole[r.path.split("/")[-1], r.chunk_index] == bytes(r.data) and r["size"] == len(r.data) for r in got)
+    terms = {(r.path.split("/")[-1], r.range_start, r.range_end) for r in plan.withColumn("path", name).collect()}
+    assert {(r.path.split("/")[-1], r.range_start, r.chunk_index) for r in got} == {(p, a, k) for p, a, b in terms for k in range(a, b)}
