@@ -13,6 +13,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
@@ -78,13 +79,22 @@ def size_of(df: DataFrame) -> int:
     return path.getFileSystem(conf).getContentSummary(path).getLength()
 
 
-#: Tables of up to so many bytes on disk are broadcast; larger ones shuffle.
-BROADCAST_BYTES = 8 << 20
+#: Tables of up to so many bytes in memory are broadcast; larger ones shuffle.
+BROADCAST_BYTES = 48 << 20
+#: Of a hash table: bytes a row and a column; strings come in as a multiple of
+#: the bytes they have on disk.
+_ROW, _COLUMN, _UNPACKED = 32, 8, 4
 
 
 def fit(df: DataFrame) -> DataFrame:
-    """Broadcast a materialised table if its files are within the bound."""
-    return F.broadcast(df) if size_of(df) <= BROADCAST_BYTES else df
+    """Broadcast a materialised table if its hash table is within the bound: its
+    rows, which Parquet tells, by their width, and what it has of strings."""
+    stored = size_of(df)
+    if stored > BROADCAST_BYTES:
+        return df
+    loose = any(not isinstance(f.dataType, (T.NumericType, T.BooleanType)) for f in df.schema)
+    held = df.count() * (_ROW + _COLUMN * len(df.columns)) + loose * _UNPACKED * stored
+    return F.broadcast(df) if held <= BROADCAST_BYTES else df
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:
