@@ -134,26 +134,18 @@ class Model:
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """[texts, languages]: phrases that each text is parsed into."""
         out = np.zeros((len(texts), len(self.langs)), np.int64)
-        whole = [i for i, codes in enumerate(texts) if 0 < len(codes) <= STRETCH]
-        whole.sort(key=lambda i: -len(texts[i]))
         width = max(64, LANES * 4 // max(4, len(self.langs)))
-        for s in range(0, len(whole), width):
-            lanes = whole[s : s + width]
-            count, state, _ = self._parse([texts[i] for i in lanes])
-            # a phrase that the end cuts off is one more
-            out[lanes] = (count + (state != self.roots[:, None])).T
-        parts = [(i, at) for i, codes in enumerate(texts) if len(codes) > STRETCH for at in range(0, len(codes), STRETCH)]
+        parts = [(i, at) for i, codes in enumerate(texts) for at in range(0, len(codes), STRETCH)]
         before, apart = self.roots, set()
         for s in range(0, len(parts), width):
             lanes = parts[s : s + width]
-            # the first, in case it is short, lends the others its place
             order = sorted(range(len(lanes)), key=lambda k: -min(STRETCH, len(texts[lanes[k][0]]) - lanes[k][1]))
             count, state, seen = self._parse([texts[lanes[k][0]][lanes[k][1] : lanes[k][1] + STRETCH] for k in order], CATCH)
             back = np.argsort(order)
             before, apart_now = self._joined(texts, lanes, count[:, back], state[:, back], seen[0][:, :, back], seen[1][:, :, back], before, out)
             apart |= apart_now
-        for i in apart:
-            out[i] = self._in_one_go(texts[i])
+        for i, k in apart:
+            out[i, k] = self._in_one_go(texts[i], k)
         return out
 
     def _parse(self, parts: list[np.ndarray], keep: int = 0) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
@@ -177,10 +169,10 @@ class Model:
                 states[t], counts[t] = state, count
         return count, state, (states, counts)
 
-    def _joined(self, texts, parts, count, state, states, counts, before, out) -> tuple[np.ndarray, set[int]]:
+    def _joined(self, texts, parts, count, state, states, counts, before, out) -> tuple[np.ndarray, set[tuple[int, int]]]:
         """Adds the phrases of consecutive ``parts`` (text, start) to ``out``;
         ``before``: the last states of the part before them. Returns the last
-        part's, and the texts whose parses have not met."""
+        part's, and the (text, language) whose parses have not met."""
         start = np.array([at for _, at in parts])
         entry = np.concatenate([np.asarray(before).reshape(-1, 1), state[:, :-1]], axis=1)
         lang, lane = np.nonzero((entry != self.roots[:, None]) & (start > 0))
@@ -189,7 +181,6 @@ class Model:
         for j, (i, at) in enumerate(parts):
             head[: left[j], j] = texts[i][at : at + left[j]]
         now, ended = entry[lang, lane], np.zeros(len(lang), np.int32)
-        apart: set[int] = set()
         for t in range(CATCH):
             if not len(lang):
                 break
@@ -202,20 +193,21 @@ class Model:
                 np.add.at(count, (lang[done], lane[done]), ended[done] - counts[t, lang[done], lane[done]])
                 state[lang[over], lane[over]] = now[over]
                 lang, lane, now, ended = lang[~done], lane[~done], now[~done], ended[~done]
-        apart |= {parts[j][0] for j in lane.tolist()}
+        apart = {(parts[j][0], k) for j, k in zip(lane.tolist(), lang.tolist(), strict=True)}
         for j, (i, at) in enumerate(parts):
             out[i] += count[:, j]
-            if at + STRETCH >= len(texts[i]):
+            if at + STRETCH >= len(texts[i]):  # a phrase that the end cuts off
                 out[i] += state[:, j] != self.roots
         return state[:, -1], apart
 
-    def _in_one_go(self, codes: np.ndarray) -> np.ndarray:
-        state, count = self.roots.astype(self.table.dtype), np.zeros(len(self.langs), np.int64)
+    def _in_one_go(self, codes: np.ndarray, lang: int) -> int:
+        table, root, count = memoryview(self.table), int(self.roots[lang]), 0
+        state = root
         for c in codes.tolist():
-            got = self.table.take(state + c)
+            got = table[state + c]
             count += got & 3
             state = got >> 2
-        return count + (state != self.roots)
+        return count + (state != root)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         codes = [self.fold(t) if t else np.zeros(0, np.int32) for t in texts]
@@ -314,7 +306,7 @@ def predict(docs: DataFrame, samples: dict[str, str], id_col: str = "doc_id", te
                 )
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(is_held_out(F.col(id_col)), F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return whole_texts(rows).mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
+    return whole_texts(rows, LANES).mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, samples: dict[str, str], text_col: str = "text", langs: set[str] | None = None, min_score: float = 0.0) -> DataFrame:
@@ -331,4 +323,4 @@ def keep_identified(docs: DataFrame, samples: dict[str, str], text_col: str = "t
                 ok = [x != UNDETERMINED and (langs is None or x in langs) and s >= min_score for x, s in zip(lang, score, strict=True)]
                 yield batch.slice(a, b - a).filter(pa.array(ok, pa.bool_()))
 
-    return whole_texts(docs).mapInArrow(run, docs.schema)
+    return whole_texts(docs, LANES).mapInArrow(run, docs.schema)
