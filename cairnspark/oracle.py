@@ -53,6 +53,8 @@ p AS (SELECT id, count(*) AS c, count(*) FILTER (is_new) AS u, sum(size) AS n, c
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS file_size, coalesce(c, 0) AS chunk_count, coalesce(u, 0) AS unique_chunk_count, CAST(coalesce(n - un, 0) AS BIGINT) AS dedup_savings,
   CAST(coalesce(u > 0, false) AS BIGINT) AS xorb_count, CAST(coalesce(un + 8 * u, 0) AS BIGINT) AS xorb_bytes
 FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN p ON id = doc_id"""
+COMPRESSION_RATIO = CONVERT.rsplit("SELECT doc_id", 1)[0] + """SELECT doc_id, CASE WHEN n > 0 THEN round((1 - (un + 8 * u) / CAST(n AS DOUBLE)) * 100, 4) ELSE 0.0 END AS compression_pct
+FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN p ON id = doc_id"""
 STREAM_DEDUP = _TURNS + "SELECT DISTINCT h AS chunk_sha256, e - s AS size FROM ch"
 
 MERKLE_CUT = """
@@ -88,6 +90,9 @@ XORB_ROUNDTRIP = _packed(8) + "SELECT source, x AS xorb_index, c AS xorb_chunk,
 XORB_RANGE = _packed(8) + """
 SELECT source, x AS xorb_index, CASE WHEN max(c) >= 2 THEN sha256(string_agg(text, '' ORDER BY c) FILTER (c IN (1, 2))) END AS range_sha256, CASE WHEN max(c) < 2 THEN 'RangeOutOfBounds' END AS error
 FROM p JOIN documents USING (source, doc_id) GROUP BY source, x"""
+CHUNK_READ = _packed(8) + """
+SELECT source, x AS xorb_index, CASE WHEN max(c) >= 1 THEN sha256(first(text) FILTER (c = 1)) END AS chunk_sha256, CASE WHEN max(c) < 1 THEN 'ChunkNotFound' END AS error
+FROM p JOIN documents USING (source, doc_id) GROUP BY source, x"""
 XORB_HEADERS = """
 SELECT doc_id, '00' || z || '00' || z AS header
 FROM (SELECT doc_id, printf('%02x%02x%02x', n % 256, n // 256 % 256, n // 65536) AS z FROM (SELECT doc_id, coalesce(strlen(text), 0) AS n FROM documents))"""
@@ -118,6 +123,21 @@ RECONSTRUCTION_JSON = _CONV + "SELECT conv_id, seg AS term_index, CAST(min(c) AS
 SHARD_ROUNDTRIP = _CONV + """
 SELECT ('0x' || sha256(CAST(conv_id AS VARCHAR))[1:1])::INT AS shard, sha256(CAST(conv_id AS VARCHAR)) AS file_hash, seg AS segment_index, CAST(sum(size) AS BIGINT) AS unpacked_segment_size, CAST(min(c) AS INT) AS chunk_index_start, CAST(max(c) + 1 AS INT) AS chunk_index_end
 FROM r GROUP BY conv_id, seg"""
+SHARD_INDEX = _CONV + "SELECT CAST(c AS INT) AS chunk_index, CAST(sum(size) OVER (PARTITION BY x ORDER BY c) - size AS BIGINT) AS byte_range_start, size, CAST(max(stop) OVER (PARTITION BY x) AS BIGINT) AS serialized_size FROM st"
+SHARD_FOOTERS = _CONV + """,
+n AS (SELECT 48 * (count(DISTINCT conv_id) + count(DISTINCT {'c': conv_id, 's': seg})) AS f FROM r),
+m AS (SELECT 48 * (count(DISTINCT x) + count(*)) AS s FROM st)
+SELECT 0 AS shard, CAST(f + s + 344 AS INT) AS n_bytes, true AS is_keyed, unhex('4d' || repeat('00', 31)) AS chunk_hash_key, TIMESTAMP '2023-11-14 22:13:20' AS created, TIMESTAMP '2023-11-15 22:13:20' AS expires,
+  CAST(48 AS BIGINT) AS file_info_offset, CAST(f + 96 AS BIGINT) AS cas_info_offset, CAST(f + s + 144 AS BIGINT) AS footer_offset FROM n, m"""
+LOST_XORBS = _CONV + "SELECT conv_id, CASE WHEN bool_or(x IN (SELECT x FROM st GROUP BY x HAVING count(*) > 6)) THEN 'SizeMismatch' END AS error FROM r GROUP BY conv_id"
+SPOILED_XORBS = _CONV + """,
+bad AS (SELECT x, max(c) AS c FROM st GROUP BY x HAVING count(*) > 6),
+e AS (SELECT conv_id, bool_or(bad.x IS NOT NULL) AS spoiled FROM r LEFT JOIN bad USING (x, c) GROUP BY conv_id)
+SELECT conv_id, CASE WHEN NOT spoiled THEN h END AS sha256, CASE WHEN spoiled THEN 'HashMismatch' END AS error
+FROM e JOIN (SELECT conv_id, sha256(string_agg(text, '' ORDER BY turn)) AS h FROM t GROUP BY conv_id) USING (conv_id)"""
+XORB_PARTS = _CONV + """,
+terms AS (SELECT DISTINCT x, a, b FROM (SELECT first(x) AS x, min(c) AS a, max(c) AS b FROM r GROUP BY conv_id, seg))
+SELECT CAST(a AS BIGINT) AS range_start, CAST(c AS BIGINT) AS chunk_index, size, h AS chunk_sha256 FROM terms JOIN st USING (x) WHERE c BETWEEN a AND b"""
 STREAM_PIECES = "SELECT conv_id, CAST(coalesce(sum(strlen(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\", strlen(text) AS size, sha256(text) AS sha256 FROM conversations WHERE text <> ''"
 RECONSTRUCT_FULL = "SELECT conv_id, CAST(sum(strlen(text)) AS BIGINT) AS size, sha256(string_agg(text, '' ORDER BY turn)) AS sha256, CAST(NULL AS VARCHAR) AS error FROM conversations WHERE text <> '' GROUP BY conv_id"
 RECONSTRUCT_RANGE = """
@@ -166,10 +186,10 @@ SELECT error, coalesce(s IS NULL OR s IN (429, 500, 503, 504), false) AS retryab
 
 def oracle_sql() -> dict[str, str]:
     names = [
-        "chunk_bounds", "page_chunks", "dedup_by_source", "turn_dedup", "new_vs_known", "convert", "stream_dedup",
-        "merkle_cut", "api_hex", "xorb_pack", "xorb_pack_raw", "xorb_headers", "xorb_roundtrip", "xorb_range", "codec_roundtrip", "byte_groups", "bit_slices",
-        "turn_segments", "fetch_plan", "reconstruct_full", "reconstruct_range", "stream_pieces", "reconstruction_json",
-        "fetch_match", "keyed_lookup", "shard_roundtrip", "verify_store",
+        "chunk_bounds", "page_chunks", "dedup_by_source", "turn_dedup", "new_vs_known", "convert", "compression_ratio", "stream_dedup",
+        "merkle_cut", "api_hex", "xorb_pack", "xorb_pack_raw", "xorb_headers", "xorb_roundtrip", "xorb_range", "chunk_read", "codec_roundtrip", "byte_groups", "bit_slices",
+        "turn_segments", "fetch_plan", "reconstruct_full", "reconstruct_range", "stream_pieces", "lost_xorbs", "spoiled_xorbs", "xorb_parts", "reconstruction_json",
+        "fetch_match", "keyed_lookup", "shard_roundtrip", "shard_index", "shard_footers", "verify_store",
         "list_files", "find_file", "next_link", "register_files", "registration_ndjson", "catalog_lookup", "ensure_namespace", "put_if_absent", "error_class",
     ]
     return {n: globals()[n.upper()] for n in names}

@@ -12,7 +12,7 @@ from . import operators as op
 from .operators.catalog import numbered, registration_lines
 from .plans import convert_stats, ingest
 from .shared import fresh_dir, keep
-from .sources import fetch_infos, parse_listing, parse_reconstruction, terms_of, to_reconstruction_json
+from .sources import fetch_infos, parse_listing, parse_reconstruction, read_xorb_ranges, terms_of, to_reconstruction_json, write_blobs
 from .streaming import append_new_chunks, stream_chunks
 
 #: Cap of the packing queries, small enough that every source fills several.
@@ -75,11 +75,21 @@ def new_vs_known(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("known").agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("chunk_hash").alias("distinct_chunks"), F.sum("size").alias("bytes"))
 
 
-def bundle_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of 64 neighbouring documents each, chunked and deduplicated."""
+def _bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of 64 neighbouring documents each."""
     docs = _table(spark, sf_dir, "documents").withColumn("file_id", F.floor(F.col("doc_id") / 64))
-    files = op.pack_files(docs, ["file_id"], "doc_id", "text")
-    return op.chunk_stats(op.mark_duplicates(op.chunk_files(files, with_data=False)), "file_id").drop("savings_pct")
+    return op.pack_files(docs, ["file_id"], "doc_id", "text")
+
+
+def bundle_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where files of a hundred kilobytes and more are cut."""
+    got = op.chunk_files(_bundles(spark, sf_dir), with_data=False)
+    return got.select("file_id", "chunk_index", "start", "end", "size")
+
+
+def bundle_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = op.chunk_files(_bundles(spark, sf_dir), with_data=False)
+    return op.chunk_stats(op.mark_duplicates(chunks), "file_id").drop("savings_pct")
 
 
 def ultracdc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,6 +168,14 @@ def xorb_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("file_id").alias("source"), "xorb_index", _sha(F.col("r.data")).alias("range_sha256"), "r.error")
 
 
+def chunk_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second chunk of each xorb, alone."""
+    units = _doc_units(spark, sf_dir)
+    xorbs = op.build_xorbs(op.assign_xorbs(units.drop("data"), cap=PACK_CAP), units, "fbs")
+    got = op.read_chunk(xorbs.select(F.struct("file_id", "xorb_index").alias("id"), "payload"), 1, "id", strict=False)
+    return got.select(F.col("id.file_id").alias("source"), "id.xorb_index", _sha(F.col("data")).alias("chunk_sha256"), "error")
+
+
 def codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for codec in ("none", "lz4", "bg4", "fbs"):
@@ -233,6 +251,37 @@ def stream_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("file_id").alias("conv_id"), "offset", F.length("data").cast("bigint").alias("size"), _sha(F.col("data")).alias("sha256"))
 
 
+def lost_xorbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which conversations still come out where xorbs of over six turns are lost."""
+    segments, index, xorbs = _conversation_tables(spark, sf_dir, "lz4")
+    got = op.reconstruct(segments, index, xorbs.filter("chunk_count <= 6"), strict=False)
+    return got.select(F.col("file_id").alias("conv_id"), "error")
+
+
+def spoiled_xorbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where only the last byte of those xorbs is another."""
+    segments, index, xorbs = _conversation_tables(spark, sf_dir)
+    cut = F.concat(F.expr("substring(payload, 1, length(payload) - 1)"), F.lit(b"\0"))
+    got = op.reconstruct(segments, index, xorbs.withColumn("payload", F.when(F.col("chunk_count") > 6, cut).otherwise(F.col("payload"))), strict=False)
+    return got.select(F.col("file_id").alias("conv_id"), _sha(F.col("content")).alias("sha256"), "error")
+
+
+def xorb_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Xorbs as files, of which each term's bytes alone are read."""
+    segments, index, xorbs = _conversation_tables(spark, sf_dir, "lz4")
+    at = fresh_dir(spark, "xorb-files")
+    write_blobs(xorbs.select("xorb_hash", "payload"), at)
+    plan = op.fetch_plan(segments, index).withColumn("path", F.concat(F.lit(f"{at}/"), fn.api_hex(F.col("xorb_hash")), F.lit(".xorb")))
+    chunks = read_xorb_ranges(plan.select("path", "range_start", "byte_start", "byte_end").distinct())
+    return chunks.select("range_start", "chunk_index", "size", _sha(F.col("data")).alias("chunk_sha256"))
+
+
+def compression_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a conversion saves of each document, without compression."""
+    files = _doc_files(spark, sf_dir)
+    return convert_stats(files, ingest(files, codec="none")).select(F.col("file_id").alias("doc_id"), F.round("compression_pct", 4).alias("compression_pct"))
+
+
 def convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document what a conversion reports, without compression."""
     files = _doc_files(spark, sf_dir)
@@ -287,11 +336,20 @@ def shard_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got
 
 
-def shard_footers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _one_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments, index, xorbs = _conversation_tables(spark, sf_dir)
     files = segments.withColumn("file_hash", F.unhex(F.sha2(F.col("file_id").cast("string").cast("binary"), 256))).withColumn("shard", F.lit(0)).withColumn("range_hash", F.lit(None).cast("binary"))
     chunks = index.join(xorbs.select("xorb_hash", "serialized_size"), "xorb_hash").withColumn("shard", F.lit(0))
-    shards = op.build_shards(files, chunks, key=bytes([77]) + bytes(31), created=1700000000, expires=1700086400)
+    return op.build_shards(files, chunks, key=bytes([77]) + bytes(31), created=1700000000, expires=1700086400)
+
+
+def shard_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation tables into one shard and back: the xorb section."""
+    return op.shard_chunks(_one_shard(spark, sf_dir)).select("chunk_index", "byte_range_start", "size", "serialized_size")
+
+
+def shard_footers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = _one_shard(spark, sf_dir)
     f = op.shard_footer(F.col("payload"))
     return shards.select("shard", F.length("payload").alias("n_bytes"), f.alias("f")).select("shard", "n_bytes", "f.*")
 
@@ -392,11 +450,11 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ALL = [
-    chunk_bounds, page_chunks, dedup_by_source, turn_dedup, new_vs_known, bundle_dedup, ultracdc_chunks,
+    chunk_bounds, page_chunks, dedup_by_source, turn_dedup, new_vs_known, bundle_chunks, bundle_dedup, ultracdc_chunks,
     file_hashes, merkle_roots, merkle_cut, api_hex,
-    xorb_pack, xorb_pack_raw, xorb_headers, xorb_roundtrip, xorb_range, codec_roundtrip, byte_groups, bit_slices, vector_codecs,
-    turn_segments, fetch_plan, reconstruct_full, reconstruct_range, stream_pieces, convert, reconstruction_json,
-    fetch_match, keyed_lookup, shard_roundtrip, shard_footers, verify_store,
+    xorb_pack, xorb_pack_raw, xorb_headers, xorb_roundtrip, xorb_range, chunk_read, codec_roundtrip, byte_groups, bit_slices, vector_codecs,
+    turn_segments, fetch_plan, reconstruct_full, reconstruct_range, stream_pieces, lost_xorbs, spoiled_xorbs, xorb_parts, convert, compression_ratio, reconstruction_json,
+    fetch_match, keyed_lookup, shard_roundtrip, shard_index, shard_footers, verify_store,
     list_files, find_file, next_link, register_files, registration_ndjson, catalog_lookup, ensure_namespace, put_if_absent, error_class,
     stream_dedup,
 ]

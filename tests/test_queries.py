@@ -55,3 +55,27 @@ def test_plans_prune_and_push_down(spark):
     assert "l_comment" not in plan and "l_extendedprice" not in plan and "CartesianProduct" not in plan
     plan = queries.turn_dedup(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "partial_min" in plan
+
+
+def test_bundles_match_the_plain_fold(spark):
+    """Too slow in SQL: chunk ends and dedup of files of many chunks."""
+    from cairnspark import constants as c
+    from cairnspark.kernels import gear
+
+    from .test_kernels import plain_cuts
+
+    files = {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect():
+        files[r.doc_id // 64] = files.get(r.doc_id // 64, b"") + (r.text or "").encode()
+    ends = {k: plain_cuts(v, c.MIN_CHUNK, c.MAX_CHUNK, c.CUT_BITS, [int(x) for x in gear.RULE_TABLE]) for k, v in files.items()}
+    want = sorted((k, i, a, b, b - a) for k, e in ends.items() for i, (a, b) in enumerate(zip([0, *e], e, strict=False)))
+    assert len(want) > 2 * len(files)
+    assert sorted(tuple(r) for r in queries.bundle_chunks(spark, SF).collect()) == want
+    seen, stats = set(), {}
+    for k, _, a, b, n in want:
+        own, new = stats.setdefault(k, [0] * 5), files[k][a:b] not in seen
+        seen.add(files[k][a:b])
+        for i, x in enumerate((1, new, n, n * new, n * (not new))):
+            own[i] += x
+    got = {r.file_id: [r.chunks, r.unique_chunks, r.raw_bytes, r.unique_bytes, r.dedup_savings] for r in queries.bundle_dedup(spark, SF).collect()}
+    assert got == stats
