@@ -32,8 +32,9 @@ SAMPLE_CHARS = 24_000
 #: Labelled documents per language that the sample is taken from, on average,
 #: and the longest of them, in characters, unless a language has none so short.
 SAMPLE_DOCS, SAMPLE_DOC_CHARS = 48, 4_000
-#: Characters of all languages' samples together; more languages share it.
-TOTAL_CHARS = 400_000
+#: Characters of all languages' samples together; more languages share it, and
+#: the MAX_LANGS that have most documents are learned.
+TOTAL_CHARS, MAX_LANGS = 400_000, 256
 #: Characters parsed side by side, and of them how many may pass until a parse
 #: meets that of the stretch before. Neither changes the number of phrases.
 STRETCH, CATCH = 2048, 384
@@ -241,7 +242,7 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(is_held_out(F.col("doc_id")), F.lit(False)))
     fits = F.char_length("text") <= SAMPLE_DOC_CHARS
-    counts = {r["lang"]: r for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(fits.cast("int")).alias("short")).collect()}
+    counts = {r["lang"]: r for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(fits.cast("int")).alias("short")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
     if not counts:
         return {}
     chars = min(sample_chars, max(500, TOTAL_CHARS // len(counts)))

@@ -1,7 +1,8 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs.
 
-A text is cut into paragraph pieces (lines; a line also ends at ". ", "! " or
-"? ", so that one-paragraph texts resolve too). Each piece becomes a 64-bit
+A text is cut into paragraph pieces (lines; a line also ends at ". ", "! ", "? "
+or an ideographic stop, so that one-paragraph texts resolve too; a piece of over
+LONG bytes is cut where the eight bytes before a character say so). Each piece becomes a 64-bit
 digest that includes how often it has occurred before in the text, which makes
 the multiset a set. A sketch has CELLS cells of (count, xor of digests, xor of
 check hashes); a digest goes to one cell in each of three thirds.
@@ -62,12 +63,34 @@ def _places(keys: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return np.stack(out)
 
 
+#: Longer pieces are cut at about one byte in LONG_CUT, wherever they stand.
+LONG, LONG_CUT = 768, 128
+_STOPS = tuple(x.encode() for x in "\u3002\uff01\uff1f")
+
+
 def pieces(text: str | None) -> list[bytes]:
     """The paragraph pieces of a text; joined, they are its UTF-8 bytes."""
     raw = (text or "").encode("utf-8", "surrogatepass").replace(b"\n", b"\n\xff")
     for end in (b". ", b"! ", b"? "):
         raw = raw.replace(end, end[:1] + b"\xff ")
-    return [p for p in raw.split(b"\xff") if p]
+    for end in _STOPS:
+        raw = raw.replace(end, end + b"\xff")
+    out = raw.split(b"\xff")
+    if len(raw) > LONG and max(map(len, out)) > LONG:
+        return [x for p in out for x in (_cut(p) if len(p) > LONG else [p]) if x]
+    return [p for p in out if p]
+
+
+def _cut(piece: bytes) -> list[bytes]:
+    """A long piece in parts that depend on the bytes around their ends alone."""
+    b = np.frombuffer(piece, np.uint8)
+    window = np.zeros(len(b) - 7, np.uint64)  # the eight bytes from here
+    for i in range(8):
+        window = (window << np.uint64(8)) | b[i : len(b) - 7 + i]
+    at = np.flatnonzero(_mix(window, 11) % np.uint64(LONG_CUT) == 0) + 8
+    at = at[at < len(b)]
+    at = at[(b[at] & 0xC0) != 0x80].tolist()
+    return [piece[s:e] for s, e in zip([0, *at], [*at, len(b)], strict=True)]
 
 
 def digests(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:

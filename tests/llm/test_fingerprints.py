@@ -1,6 +1,7 @@
 """Op 1 against multisets of pieces."""
 
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
@@ -68,6 +69,19 @@ def test_peeling_recovers_both_sides(keys, i, j):
     assert used[0] >= iblt.CELLS
 
 
+def test_long_pieces_are_cut_by_content():
+    rng = random.Random(6)
+    for words in (["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(900)], [chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(3000)]):
+        gap = " " if len(words[0]) > 1 else ""
+        text = gap.join(words)
+        got = iblt.pieces(text)
+        assert b"".join(got) == text.encode() and len(got) > 20 and all(p.decode() for p in got)
+        other = gap.join(words[: len(words) // 2] + ["changed"] + words[len(words) // 2 + 1 :])
+        assert jaccard(text, other) > 0.85
+    assert iblt.pieces("\u4e00\u3002\u4e8c\u3002") == ["\u4e00\u3002".encode(), "\u4e8c\u3002".encode()]
+    assert iblt.pieces("a" * 5000) == [b"a" * 5000]
+
+
 def test_fingerprint_round_trip():
     g = iblt.Group(["one. two. three.\nfour", "", None])
     n, count, xor, check_ = iblt.decode(g.strings()[0])
