@@ -88,16 +88,16 @@ def word_tokens(text: Column) -> Column:
 
 
 def token_lengths(rows: DataFrame, tokenizer: str) -> DataFrame:
-    """(doc_id, n, h) of rows (doc_id, h, text): n is the text's tokens by a
+    """(doc_id, n, h) of rows (doc_id, text, h): n is the text's tokens by a
     tokenizer file, without special ones, and an end token."""
-    from .simple8b import words_for
+    from .simple8b import regrouped, words_for
 
     def run(batches):
         table = words_for(tokenizer)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(table.counts(b.column(2)) + 1, pa.int64()), b.column(1)], ["doc_id", "n", "h"])
+        for b in regrouped(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(table.counts(b.column(1)) + 1, pa.int64()), b.column(2)], ["doc_id", "n", "h"])
 
-    return whole_texts(rows.select("doc_id", "h", "text"), 4096).mapInArrow(run, "doc_id bigint, n bigint, h bigint")
+    return whole_texts(rows.select("doc_id", "text", "h")).mapInArrow(run, "doc_id bigint, n bigint, h bigint")
 
 
 SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, bin string, offset bigint, capacity bigint"

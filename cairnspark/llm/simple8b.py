@@ -22,7 +22,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -307,8 +307,8 @@ def words_for(path: str) -> Words:
 
 # -- files -------------------------------------------------------------------
 
-#: Bytes of text encoded at once, and rows of an Arrow batch.
-GROUP_BYTES, BATCH_ROWS = 6 << 20, 4096
+#: Bytes of text encoded at once.
+GROUP_BYTES = 8 << 20
 
 
 def _groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -322,6 +322,22 @@ def _groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
         start = stop
 
 
+def regrouped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, text, ...) in batches of about GROUP_BYTES of text, whatever
+    size they come in: the more words at once, the more of them are the same."""
+    held, size = [], 0
+    for batch in batches:
+        for at in _groups(batch.column(1)):
+            part = batch.slice(*at)
+            held.append(part)
+            size += pc.sum(pc.binary_length(part.column(1))).as_py() or 0
+            if size >= GROUP_BYTES:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 FILE_SCHEMA = "part int, seq int, first bigint, n_ids bigint, payload binary"
 
 
@@ -347,25 +363,23 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["part", "seq", "first", "n_ids", "payload"])
 
-        for batch in batches:
-            for at in _groups(batch.column(1)):
-                sub = batch.slice(*at)
-                flat, counts = table.encode(sub.column(1))
-                ends = np.cumsum(counts)
-                for i, (stop, k) in enumerate(zip(ends.tolist(), counts.tolist(), strict=True)):
-                    own = sub.column(2)[i].as_py()
-                    if ids and (own != part or n >= SEGMENT_IDS):
-                        yield close()
-                        seq, first = (seq + 1, first + n) if own == part else (0, 0)
-                        ids, docs_, n = [], [], 0
-                    part = own
-                    ids.append(sub.column(0)[i].as_py())
-                    docs_.append(np.concatenate([flat[stop - k : stop], end]))
-                    n += k + 1
+        for sub in regrouped(batches):
+            flat, counts = table.encode(sub.column(1))
+            ends = np.cumsum(counts)
+            for i, (stop, k) in enumerate(zip(ends.tolist(), counts.tolist(), strict=True)):
+                own = sub.column(2)[i].as_py()
+                if ids and (own != part or n >= SEGMENT_IDS):
+                    yield close()
+                    seq, first = (seq + 1, first + n) if own == part else (0, 0)
+                    ids, docs_, n = [], [], 0
+                part = own
+                ids.append(sub.column(0)[i].as_py())
+                docs_.append(np.concatenate([flat[stop - k : stop], end]))
+                n += k + 1
         if ids:
             yield close()
 
-    whole_texts(rows.select("doc_id", "text", "part"), BATCH_ROWS).mapInArrow(run, FILE_SCHEMA).write.parquet(path)
+    whole_texts(rows.select("doc_id", "text", "part")).mapInArrow(run, FILE_SCHEMA).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, digest: bool = True) -> DataFrame:
