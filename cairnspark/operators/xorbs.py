@@ -34,45 +34,52 @@ def read_xorb(xorbs: DataFrame, id_col: str = "xorb_hash", payload_col: str = "p
     kind = xorbs.schema[id_col].dataType.simpleString()
     use = [*range(6), *([6] if decode else []), *([] if strict else [7])]
 
-    def checked(rows: list[tuple], hashes: dict[int, bytes]) -> list[tuple]:
-        known = [r for r in rows if hashes.get(r[0]) is not None and r[6] is not None]
-        bad = {r[0] for r, h in zip(known, keyed(DATA_KEY, [r[6] for r in known]), strict=True) if h != hashes[r[0]]}
+    def checked(rows: list[tuple], hashes: list[bytes | None]) -> list[tuple]:
+        """Rows of any number of xorbs, held against their hashes together."""
+        known = [k for k, h in enumerate(hashes) if h is not None and rows[k][7] is not None]
+        got = keyed(DATA_KEY, [rows[k][7] for k in known])
+        bad = {k for k, h in zip(known, got, strict=True) if h != hashes[k]}
         if bad and strict:
             raise FormatError("HashMismatch")
-        return [(*r[:6], None, "HashMismatch") if r[0] in bad else r for r in rows]
+        return [(*r[:7], None, "HashMismatch") if k in bad else r for k, r in enumerate(rows)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows: list[tuple] = []  # place in the batch, then FRAMES, data and error
+            hashes: list[bytes | None] = []
+            held = 0
+
+            def close(rows: list[tuple], hashes: list[bytes | None], batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                rows = checked(rows, hashes) if wanted else rows
+                own = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
+                return pa.RecordBatch.from_arrays([own, *[pa.array([r[k + 1] for r in rows], _KINDS[k]) for k in use]], [id_col, *[_NAMES[k] for k in use]])
+
             for i in range(batch.num_rows):
                 payload = batch.column(1)[i].as_py()
                 if payload is None:
                     continue
-                rows: list[tuple] = []
-                held = 0
-                hashes = {x["chunk_index"]: x["chunk_hash"] for x in batch.column(2)[i].as_py() or ()} if wanted else {}
-
-                def close(rows: list[tuple], i: int = i, batch: pa.RecordBatch = batch) -> pa.RecordBatch:
-                    own = batch.column(0).take(pa.array([i] * len(rows), pa.int64()))
-                    return pa.RecordBatch.from_arrays([own, *[pa.array([r[k] for r in rows], _KINDS[k]) for k in use]], [id_col, *[_NAMES[k] for k in use]])
-
+                asked = {x["chunk_index"]: x["chunk_hash"] for x in batch.column(2)[i].as_py() or ()} if wanted else {}
+                last = max(asked, default=-1)
                 try:
                     for f in frames(payload):
-                        if wanted and f.index not in hashes:
+                        if wanted and f.index > last:
+                            break
+                        if wanted and f.index not in asked:
                             continue
                         data = f.data() if decode else None
-                        rows.append((f.index, f.start, f.end, f.codec, len(f.raw), f.size, data, None))
+                        rows.append((i, f.index, f.start, f.end, f.codec, len(f.raw), f.size, data, None))
+                        hashes.append(asked.get(f.index))
                         held += f.size if decode else 0
                         if held >= _BATCH_BYTES:
-                            yield close(checked(rows, hashes))
-                            rows, held = [], 0
-                        if wanted and f.index >= max(hashes):
-                            break
+                            yield close(rows, hashes)
+                            rows, hashes, held = [], [], 0
                 except ValueError as e:
                     if strict:
                         raise
-                    rows.append((None,) * 7 + (str(e).split(":")[0],))
-                if rows:
-                    yield close(checked(rows, hashes))
+                    rows.append((i, *(None,) * 7, str(e).split(":")[0]))
+                    hashes.append(None)
+            if rows:
+                yield close(rows, hashes)
 
     fields = f"`{id_col}` {kind}, {FRAMES}" + ", data binary" * decode + ", error string" * (not strict)
     return xorbs.select(id_col, F.col(payload_col).cast("binary").alias("payload"), *[F.col(x) for x in [wanted] if x]).mapInArrow(run, fields)
