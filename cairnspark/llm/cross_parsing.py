@@ -20,6 +20,8 @@ where they agree. The rare text whose parses do not meet is parsed in one go.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -39,6 +41,10 @@ TOTAL_CHARS, MAX_LANGS = 400_000, 256
 #: meets that of the stretch before. Neither changes the number of phrases.
 STRETCH, CATCH = 2048, 384
 LANES = 1024
+#: Cells (four bytes) of the automata's table: classes of letters are as many as
+#: they allow, of at most two states a character, but MIN_CLASSES at least. Rarer
+#: letters are spelled in digits of this base.
+TABLE_CELLS, MIN_CLASSES, BASE = 48 << 20, 64, 16
 UNDETERMINED = "und"
 
 _BLANK, _OTHER = 0, 1
@@ -46,12 +52,21 @@ _BLANK, _OTHER = 0, 1
 
 class Folding:
     """Code points to classes: blank (anything but letters), the letters of the
-    samples, and one class for all other letters."""
+    samples, and one class for all other letters.
+
+    There are ``width`` classes at most. Where the samples have more letters the
+    most frequent have classes of their own and the rest are spelled: a first
+    digit and further ones, of two sets of BASE classes.
+    """
 
-    def __init__(self, texts: list[str]):
-        letters = sorted({c.lower() for t in texts for c in t if c.isalpha()} | set())
-        letters = [c for c in letters if len(c) == 1]
-        self.size = len(letters) + 2
+    def __init__(self, texts: list[str], width: int = 1 << 20):
+        counts = Counter(c.lower() for t in texts for c in t if c.isalpha())
+        letters = sorted((c for c in counts if len(c) == 1), key=lambda c: (-counts[c], c))
+        own = len(letters) if len(letters) + 2 <= width else width - 2 - 2 * BASE
+        spelled = len(letters) - own
+        self.first = own + 2
+        self.size = self.first + 2 * BASE * (spelled > 0)
+        self.digits = next(d for d in range(1, 9) if BASE**d >= spelled)
         table = np.zeros(0x110000, np.int32)
         for cp in range(0x110000):
             if chr(cp).isalpha():
@@ -68,7 +83,16 @@ class Folding:
         got = self.table[cps]
         keep = np.ones(len(got), bool)
         keep[1:] = (got[1:] != _BLANK) | (got[:-1] != _BLANK)
-        return got[keep]
+        got = got[keep]
+        rare = got >= self.first
+        if self.size == self.first or not rare.any():
+            return got
+        n = np.where(rare, self.digits, 1)
+        out, starts = np.repeat(got, n), np.cumsum(n) - n
+        rank, at = got[rare] - self.first, starts[rare]
+        for d in range(self.digits):
+            out[at + d] = self.first + BASE * (d > 0) + rank // BASE ** (self.digits - 1 - d) % BASE
+        return out
 
 
 def suffix_automaton(codes: np.ndarray, alphabet: int) -> np.ndarray:
@@ -116,20 +140,26 @@ class Model:
 
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
-        self.fold = Folding([samples[k] for k in self.langs])
+        room = max(500, TOTAL_CHARS // max(1, len(samples)))
+        texts = [samples[k] for k in self.langs]
+        self.fold = Folding(texts)
+        # fewer classes make the spelling longer, so until both fit
+        while self.fold.size > (width := max(MIN_CLASSES, TABLE_CELLS // max(1, 2 * sum(min(room, len(self.fold(t))) for t in texts)))):
+            self.fold = Folding(texts, width)
         a, tables, roots, at, cost = self.fold.size, [], [], 0, []
         for lang in self.langs:
-            codes = self.fold(samples[lang])
+            codes = self.fold(samples[lang])[:room]  # spelled letters take more room
             step = suffix_automaton(codes, a)
             root = step[0]
-            ended = np.where(root >= 0, (root.astype(np.int64) + at) * a * 4 + 1, at * a * 4 + 2)
-            table = np.where(step >= 0, (step.astype(np.int64) + at) * a * 4, ended[None, :])
+            ended = np.where(root >= 0, (root + at) * a * 4 + 1, at * a * 4 + 2)
+            table = np.where(step >= 0, (step + at) * a * 4, ended[None, :])
             table[0] = np.where(root >= 0, table[0], at * a * 4 + 1)
             tables.append(table)
             roots.append(at * a)
             cost.append(np.log2(max(2, len(codes))))
             at += len(step)
-        self.table = np.concatenate(tables).ravel().astype(np.int64 if at * a * 4 > 2**31 - 1 else np.int32) if tables else np.zeros(0, np.int32)
+        assert at * a * 4 < 1 << 31, "rows do not fit 32 bits"
+        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
         self.roots, self.cost = np.array(roots, np.int64), np.array(cost)
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:

@@ -47,6 +47,27 @@ def test_long_texts_are_parsed_whole(monkeypatch):
     assert 0 < len(apart) < 8
 
 
+def test_rare_letters_are_spelled(monkeypatch):
+    rng = random.Random(7)
+    wide = [chr(c) for c in range(0x4E00, 0x4E00 + 3000)]
+    samples = {f"l{i}": "".join(rng.choice([*wide[i * 700 : i * 700 + 900], *"abc "]) for _ in range(3000)) for i in range(4)}
+    texts = [samples[f"l{i}"][300 * k : 300 * k + 40] + "zz" + wide[-1] for i in range(4) for k in range(3)]
+    monkeypatch.setattr(cp, "TABLE_CELLS", 1 << 27)
+    plain = cp.Model(samples)
+    assert plain.fold.size > 2800
+    monkeypatch.setattr(cp, "TABLE_CELLS", 1 << 20)
+    m = cp.Model(samples)
+    assert m.fold.size == cp.MIN_CLASSES and m.table.dtype == plain.table.dtype == "int32"
+    # distinct letters are spelled apart, a letter with a class takes one
+    assert len({tuple(m.fold(c).tolist()) for c in [*wide[:3000], *"abc"]} - {(cp._OTHER,)}) == plain.fold.size - 2
+    assert len(m.fold("a B")) == 3 and len(m.fold(wide[5])) == m.fold.digits == 3
+    as_text = lambda c: "".join(map(chr, (c + 200).tolist()))
+    got = m.phrases([m.fold(t) for t in texts])
+    for j, t in enumerate(texts):
+        assert got[j].tolist() == [phrases(as_text(m.fold(t)), as_text(m.fold(samples[k]))) for k in m.langs]
+    assert m.predict(texts)[0] == plain.predict(texts)[0] == [f"l{i}" for i in range(4) for _ in range(3)]
+
+
 def test_automaton_accepts_exactly_the_substrings():
     text = [0, 1, 0, 0, 1, 2, 1, 0]
     table = cp.suffix_automaton(__import__("numpy").array(text), 3)
