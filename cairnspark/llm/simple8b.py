@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -207,11 +208,12 @@ class Words(dict):
     white space, as bytes of u32; filled as words come up, emptied when full.
 
     Words of plain letters go to the model without the regular expressions
-    around it, which is many times faster; all others through the whole
-    tokenizer. Both are checked against it in the tests.
+    around it, which is many times faster, and share their lower-case form's
+    entry with or without a full stop after them; all others go through the
+    whole tokenizer. Both are checked against it in the tests.
     """
 
-    MOST, RENEW = 500_000, 16
+    MOST, RENEW = 1_000_000, 16
     PLAIN = re.compile(r"([a-zA-ZÀ-ÖØ-öø-įı-ňŊ-ž]+)([.,;:!?]*)")
 
     def __init__(self, path: str):
@@ -221,50 +223,37 @@ class Words(dict):
         self.missed = 0
         self.tok = Tokenizer.from_file(path)
         self.model = self.tok.model
-        self.letters: dict[str, bytes] = {}
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
         spare = iter(range(256, 512))
-        self.byte_chars = {b: chr(b) if b in kept else chr(next(spare)) for b in range(256)}
+        self.byte_chars = [chr(b) if b in kept else chr(next(spare)) for b in range(256)]
         pre = self.tok.pre_tokenizer.pre_tokenize_str
         # the letters' shortcut holds for lower-casing byte-level models
         low = self.tok.encode("ABCé", add_special_tokens=False).ids
         self.fast = low == self._model_ids("abcé") and [p for p, _ in pre("abc")] == ["abc"]
 
     def _model_ids(self, word: str) -> list[int]:
-        mapped = word if word.isascii() else "".join(self.byte_chars[b] for b in word.encode())
-        return [t.id for t in self.model.tokenize(mapped)]
-
-    def _part(self, part: str) -> bytes:
-        got = self.letters.get(part)
-        if got is None:
-            if self.fast and self.PLAIN.fullmatch(part) and part[-1].isalpha():
-                ids = self._model_ids(part)
-            else:
-                ids = self.tok.encode(part, add_special_tokens=False).ids
-            got = np.array(ids, "<u4").tobytes()
-            self._keep(self.letters, part, got)
-        return got
-
-    def _keep(self, table: dict[str, bytes], word: str, ids: bytes) -> None:
-        """First come, first kept: frequent words come first. A full table that
-        has missed RENEW times its size starts anew, as the text has changed."""
-        if len(table) < self.MOST:
-            dict.__setitem__(table, word, ids)
-            return
-        self.missed += 1
-        if self.missed > self.RENEW * self.MOST:
-            self.missed = 0
-            table.clear()
+        return [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.byte_chars))]
 
     def __missing__(self, word: str) -> bytes:
+        """First come, first kept: frequent words come first. A full table that
+        has missed RENEW times its size starts anew, as the text has changed."""
         if not word:
             return b""
-        plain = self.fast and self.PLAIN.fullmatch(word)
-        if plain:
-            out = self._part(plain[1].lower()) + (self._part(plain[2]) if plain[2] else b"")
+        if self.fast and word.isascii() and word.isalpha() and word.islower():
+            out = array("I", self._model_ids(word)).tobytes()
+        elif not (plain := self.fast and self.PLAIN.fullmatch(word)):
+            out = array("I", self.tok.encode(word, add_special_tokens=False).ids).tobytes()
+        elif (stem := plain[1].lower()) != word:
+            out = self[stem] + (self[plain[2]] if plain[2] else b"")
+        else:
+            out = array("I", self._model_ids(word)).tobytes()
+        if len(self) < self.MOST:
+            self[word] = out
         else:
-            out = np.array(self.tok.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        self._keep(self, word, out)
+            self.missed += 1
+            if self.missed > self.RENEW * self.MOST:
+                self.missed = 0
+                self.clear()
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -274,17 +263,13 @@ class Words(dict):
         """
         split = pc.ascii_split_whitespace(texts)
         words = pc.list_flatten(split).dictionary_encode()
-        code = words.indices.to_numpy(zero_copy_only=False)
-        parts = [self[w] for w in words.dictionary.to_pylist()]
-        table = np.frombuffer(b"".join(parts), "<u4")
-        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        begin = np.cumsum(size) - size
-        n = size[code]
-        ends = np.cumsum(n)
-        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin[code] - (ends - n), n)
+        ids = pa.array([self[w] for w in words.dictionary.to_pylist()], pa.large_binary()).take(words.indices)
+        _, ends, data = ids.buffers()
+        ends = np.frombuffer(ends, np.int64)[ids.offset : ids.offset + len(ids) + 1] // 4
         per_text = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False)
-        upto = np.concatenate([np.zeros(1, np.int64), ends])[np.cumsum(per_text)]
-        return table[at], np.diff(upto, prepend=0)
+        upto = ends[np.cumsum(per_text)]
+        flat = np.frombuffer(data, "<u4") if len(ids) and data else np.zeros(0, "<u4")
+        return flat[: ends[-1]], np.diff(upto, prepend=0)
 
     def counts(self, texts: pa.Array) -> np.ndarray:
         """How many ids :meth:`encode` makes of each text."""
