@@ -15,6 +15,20 @@ from cairnspark.llm.queries import tokenizer_path
 PATH = tokenizer_path("word_bpe_49k.json")
 
 
+def test_words_of_a_full_table(monkeypatch):
+    monkeypatch.setattr(s8.Words, "MOST", 4)
+    monkeypatch.setattr(s8.Words, "RENEW", 2)
+    words, sizes = s8.Words(PATH), []
+    for at in range(0, 60, 3):
+        texts = [f"Word{'abcdefghij'[i % 10]}, word{'abcdefghij'[i % 7]} ÉTÉ. été 12{i} WORDA!" for i in range(at, at + 3)]
+        flat, counts = words.encode(pa.array(texts))
+        ends = np.cumsum(counts)
+        assert [flat[e - c : e].tolist() for e, c in zip(ends, counts, strict=True)] == library(texts)
+        assert np.array_equal(words.counts(pa.array(texts)), counts)
+        sizes.append(len(words))
+    assert max(sizes) <= 4 and min(sizes) < 4  # filled, and emptied
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 1), st.integers(0, 300), st.integers(0, 50_000), st.integers(0, 2**64 - 1)), max_size=400), st.integers(0, 400), st.integers(0, 400))
 def test_round_trip(ids, a, b):
