@@ -10,8 +10,10 @@ compared with the item's, and the windows that agree word for word are hits.
 Items shorter than WINDOW words are one window each; they are looked up whole,
 by the hash of all runs of their length.
 
-Before anything is exploded a document's fingerprints are tested against a
-byte map of the benchmark's, so rows are made for (probable) hits alone.
+A document's k-grams are hashed and tested against a byte map of the benchmark's
+fingerprints in generated code, one word after the other. The few that may be
+known are then winnowed by the words around them, which hold every run that
+they are in; so rows are kept for (probable) hits alone.
 """
 
 from __future__ import annotations
@@ -28,13 +30,15 @@ W = WINDOW - K + 1
 NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 #: The byte map has 16 slots a fingerprint, within these bounds; beyond the
-#: upper one it only filters less.
+#: upper one it only filters less. A fingerprint has PROBES slots, cut from
+#: different bits of it; but one where the map is less wide.
 MIN_SLOTS, MAX_SLOTS = 1 << 12, 1 << 22
+PROBES = 3
 
 
 def words_of(text: Column) -> Column:
     """The words of a text, A-Z lower-cased; null has none."""
-    return F.filter(F.split(F.coalesce(fold_case(text), F.lit("")), NOT_WORD), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(fold_case(text), F.lit("")), NOT_WORD), "")
 
 
 def _gram(words: Column, at: Column, n: int) -> Column:
@@ -89,8 +93,9 @@ def _item_tables(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[Da
     return materialize(long, "winnow-long"), materialize(short, "winnow-short"), lengths
 
 
-def _slot_map(tables: list[DataFrame]) -> tuple[bytes, int]:
-    """One byte a slot, 1 where some fingerprint of the benchmark falls."""
+def _slot_map(tables: list[DataFrame]) -> tuple[bytes, int, int]:
+    """One byte a slot, 1 where some fingerprint of the benchmark falls; the
+    slots, and the probes a fingerprint."""
     hashes = tables[0].select("h")
     for t in tables[1:]:
         hashes = hashes.union(t.select("h"))
@@ -98,11 +103,16 @@ def _slot_map(tables: list[DataFrame]) -> tuple[bytes, int]:
     slots = MIN_SLOTS
     while slots < min(16 * n, MAX_SLOTS):
         slots *= 2
-    used = hashes.select(F.expr(f"pmod(h, {slots})").cast("int").alias("s")).distinct()
+    probes = PROBES if slots >= 16 * n else 1
+    used = hashes.select(F.explode(F.array(*[_slot(F.col("h"), slots, i) for i in range(probes)])).alias("s")).distinct()
     table = bytearray(slots)
     for r in used.toLocalIterator():
         table[r["s"]] = 1
-    return bytes(table), slots
+    return bytes(table), slots, probes
+
+
+def _slot(h: Column, slots: int, probe: int) -> Column:
+    return F.pmod(F.shiftright(h, 20 * probe) if probe else h, F.lit(slots)).cast("int")
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", doc_text_col: str = "text", keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -110,35 +120,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_
     columns ``keep``; and per verified hit (row, item_id, first, last) in words.
     """
     long, short, lengths = _item_tables(benchmark, item_col, text_col)
-    table, slots = _slot_map([long, short])
-    flags = F.lit(table)
-
-    def known(h: Column) -> Column:
-        slot = F.pmod(h, F.lit(slots)).cast("int") + 1
-        return F.substring(flags, slot, F.lit(1)) == F.lit(b"\x01")
-
-    w = F.col("w")
-    rows = docs.select(*[F.col(c) for c in keep or []], words_of(F.col(doc_text_col)).alias("w"))
-    rows = rows.withColumn("g", _grams(w, K))
-    g = F.col("g")
-    found = F.transform(
-        F.filter(_selected(g), lambda p: known(F.get(g, p))),
-        lambda p: F.struct(p.alias("p"), F.lit(0).alias("n"), F.get(g, p).alias("h"), _context(w, p).alias("ctx")),
-    )
-    parts = [found]
-    def short_runs(n: int) -> Column:
-        runs = F.transform(_grams(w, n), lambda h, i: F.struct(i.alias("p"), h.alias("h")))
-        return F.transform(
-            F.filter(runs, lambda r: known(r["h"])),
-            lambda r: F.struct(r["p"].alias("p"), F.lit(n).alias("n"), r["h"].alias("h"), F.slice(w, r["p"] + 1, n).alias("ctx")),
-        )
-
-    parts += [short_runs(n) for n in lengths]
-    found = F.concat(*parts) if len(parts) > 1 else found
-    rows = rows.select(*(keep or []), F.monotonically_increasing_id().alias("row"), F.size("w").alias("n_words"), found.alias("found"))
-    rows = materialize(rows, "winnow-docs")
-
-    cand = rows.filter(F.size("found") > 0).select("row", F.explode("found").alias("f")).select("row", "f.p", "f.n", "f.h", "f.ctx")
+    found = materialize(_found(docs, doc_text_col, keep or [], lengths, *_slot_map([long, short])), "winnow-docs")
+    rows = found.filter("p < 0").select(*(keep or []), "row", "n_words")
+    cand = found.filter("p >= 0").select("row", "p", "n", "h", "ctx")
 
     on_long = cand.filter("n = 0").join(fit(long), "h")
     same = F.zip_with("ctx", "ictx", lambda a, b: F.coalesce(a == b, F.lit(False)))
@@ -149,7 +133,39 @@ def hits(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_
     if lengths:
         on_short = cand.filter("n > 0").join(fit(short), "h").filter(F.col("ctx") == F.col("ictx"))
         spans = spans.union(on_short.select("row", "item_id", F.col("p").alias("first"), (F.col("p") + F.col("n") - 1).alias("last")))
-    return rows.drop("found"), spans
+    return rows, spans
+
+
+def _found(docs: DataFrame, text_col: str, keep: list[str], lengths: list[int], table: bytes, slots: int, probes: int) -> DataFrame:
+    """Per input row one row of p = -1 with n_words and ``keep``, and one for each
+    probable hit: p, n (0: a fingerprint; else words of a short item), h, ctx.
+
+    Lambdas are interpreted and would take microseconds a word, so none is
+    applied before the map has been asked. Explodes also keep Spark from
+    computing what they make once more in the conditions that follow them.
+    """
+    flags = F.lit(table)
+    w, p, h, near = (F.col(c) for c in ("w", "p", "h", "near"))
+    known = F.lit(True)
+    for i in range(probes):
+        known &= F.substring(flags, _slot(h, slots, i) + 1, F.lit(1)) == F.lit(b"\x01")
+
+    def run(n: int) -> Column:
+        return F.when((p >= 0) & F.get(w, p + (n - 1)).isNotNull(), _gram(w, p, n))
+
+    rows = docs.select(*keep, F.monotonically_increasing_id().alias("row"), words_of(F.col(text_col)).alias("w"))
+    rows = rows.select(*keep, "row", "w", F.size(w).alias("n_words"), F.explode(F.sequence(F.lit(-1), F.size(w) - 1)).alias("p"))
+    rows = rows.select(*keep, "row", "w", "n_words", "p", F.posexplode(F.array(*[run(n) for n in [K, *lengths]])).alias("kind", "h"))
+    rows = rows.filter(((p < 0) & (F.col("kind") == 0)) | known)
+    # the words of all runs of W hashes that p is in, and its place in them
+    around = F.slice(w, F.greatest(p - (W - 1), F.lit(0)) + 1, F.when(p < 0, 0).otherwise(F.least(p, F.lit(W - 1)) + K + W - 1))
+    at = F.least(p, F.lit(W - 1))
+    rows = rows.select(*keep, "row", "n_words", "p", "kind", "h", F.explode(F.array(around)).alias("near"))
+    kept = F.exists(F.array(_grams(near, K)), lambda g: F.array_contains(_selected(g), at))
+    rows = rows.filter((p < 0) | (F.col("kind") > 0) | kept)
+    n = F.get(F.array(*[F.lit(n) for n in [0, *lengths]]), F.col("kind"))
+    ctx = F.when(p >= 0, F.when(n == 0, _context(near, at)).otherwise(F.slice(near, at + 1, n)))
+    return rows.select(*[F.when(p < 0, F.col(c)).alias(c) for c in keep], "row", "n_words", "p", n.alias("n"), "h", ctx.alias("ctx"))
 
 
 def _covered(spans: Column) -> Column:

@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from cairnspark.llm import winnowing as wn
 
 from .conftest import SMALL, prose
@@ -72,3 +74,46 @@ def test_no_broadcast(spark, monkeypatch):
 
     monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
     test_real(spark)
+
+
+def test_crowded_map(spark, monkeypatch):
+    """A map too small for its fingerprints filters little; results stay exact."""
+    monkeypatch.setattr(wn, "MIN_SLOTS", 16)
+    monkeypatch.setattr(wn, "MAX_SLOTS", 16)
+    test_real(spark)
+
+
+def test_winnowed_by_surroundings(spark, docs):
+    """Where the map knows every hash, what is kept is the winnowing of whole texts."""
+    found = wn._found(docs, "text", ["doc_id"], [], b"\x01" * 16, 16, wn.PROBES)
+    ids = found.filter("p < 0").select("row", "doc_id")
+    got = found.filter("p >= 0").select("row", "p", "n", "h", "ctx").join(ids, "row").select("doc_id", "p", "n", "h", "ctx")
+    whole = docs.select("doc_id", wn.words_of(F.col("text")).alias("w")).withColumn("g", wn._grams(F.col("w"), wn.K))
+    want = whole.select("doc_id", "w", "g", F.explode(wn._selected(F.col("g"))).alias("p"))
+    want = want.select("doc_id", "p", F.lit(0).alias("n"), F.get("g", F.col("p")).alias("h"), wn._context(F.col("w"), F.col("p")).alias("ctx"))
+    assert got.count() > 1000
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[:2]) == sorted(map(tuple, want.collect()), key=lambda r: r[:2])
+
+
+def test_no_lambda_over_whole_texts(spark, docs, monkeypatch):
+    """Lambdas are interpreted: below the map's test there are none, and the
+    loop over words is one that the JVM compiles (methods of under 8000 bytes),
+    for items of every length too."""
+    plans, write = [], wn.materialize
+
+    def seen(df, name):
+        if name == "winnow-docs":
+            plans.append(df)
+        return write(df, name)
+
+    monkeypatch.setattr(wn, "materialize", seen)
+    rng = random.Random(4)
+    bench = spark.createDataFrame([(i, prose(rng, i)) for i in range(1, 14)], "item_id bigint, text string")
+    wn.decontaminate(spark.read.parquet(f"{SMALL}/documents.parquet"), bench)
+    run = plans[0]._jdf.queryExecution()
+    lines = str(run.executedPlan().toString()).splitlines()
+    loops = [i for i, line in enumerate(lines) if re.search(r"\*\(\d+\) Generate posexplode", line)]
+    assert loops and not any("lambdafunction" in line for line in lines[loops[0] :])
+    code = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(run, "codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) < 8000
