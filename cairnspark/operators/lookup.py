@@ -75,6 +75,14 @@ def fetch_plan(segments: DataFrame, chunks: DataFrame) -> DataFrame:
     )
 
 
+def _ranges_by_xorb(infos: DataFrame) -> DataFrame:
+    """(xorb_hash, infos): the distinct ranges of each xorb in order of position,
+    each by its first info."""
+    info = F.struct("position", "info_start", "info_end", "url", "url_start", "url_end")
+    first = infos.groupBy("xorb_hash", "info_start", "info_end").agg(F.min(info).alias("info"))
+    return first.groupBy("xorb_hash").agg(F.array_sort(F.collect_list("info")).alias("infos"))
+
+
 def match_fetch_ranges(terms: DataFrame, infos: DataFrame, strict: bool = True) -> DataFrame:
     """Each term with the first fetch range (by ``position``) of its xorb that
     contains its chunk range, and the term's range within it.
@@ -85,12 +93,13 @@ def match_fetch_ranges(terms: DataFrame, infos: DataFrame, strict: bool = True)
     MissingFetchInfo (the xorb has no range) or NoMatchingFetchInfo (none holds
     the term), which raise when ``strict``.
 
-    Ranges are gathered per xorb first (its chunks bound how many there are), so
-    a term is one row throughout and is shuffled once, for the join.
+    Of equal ranges of a xorb the first alone is kept, and what is left is
+    gathered per xorb: its chunks bound how many ranges are compared with a term,
+    however often they are listed. A term is one row throughout and is shuffled
+    once, for the join.
     """
     keys = ["file_id", "term_index", "xorb_hash", "range_start", "range_end"]
-    info = F.struct("position", "info_start", "info_end", "url", "url_start", "url_end")
-    held = infos.groupBy("xorb_hash").agg(F.array_sort(F.collect_list(info)).alias("infos"))
+    held = _ranges_by_xorb(infos)
     fits = F.filter("infos", lambda i: (i["info_start"] <= F.col("range_start")) & (i["info_end"] >= F.col("range_end")))
     got = terms.select(*keys).join(held, "xorb_hash", "left").select(*keys, F.col("infos").isNotNull().alias("any"), F.get(fits, F.lit(0)).alias("i"))
     error = F.when(~F.col("any"), F.lit("MissingFetchInfo")).when(F.col("i").isNull(), F.lit("NoMatchingFetchInfo"))

@@ -217,6 +217,19 @@ def test_fetch_match(spark):
         op.match_fetch_ranges(terms, infos).collect()
 
 
+def test_equal_fetch_ranges_are_compared_once(spark):
+    """A range that is listed any number of times costs a term one comparison,
+    and the first by position still wins."""
+    from cairnspark.operators.lookup import _ranges_by_xorb
+
+    rows = [(b"x", p, p % 5, 5 + p % 5, f"u{p}", 0, 9) for p in range(999, -1, -1)] + [(b"y", None, 1, 2, "none", 0, 9), (b"y", 7, 1, 2, "seven", 0, 9)]
+    infos = spark.createDataFrame(rows, "xorb_hash binary, position bigint, info_start bigint, info_end bigint, url string, url_start bigint, url_end bigint")
+    assert {bytes(r.xorb_hash): [i.position for i in r.infos] for r in _ranges_by_xorb(infos).collect()} == {b"x": [0, 1, 2, 3, 4], b"y": [None]}
+    terms = spark.createDataFrame([(k, 0, x, a, b) for k, (x, a, b) in enumerate([(b"x", 3, 8), (b"x", 0, 6), (b"y", 1, 2), (b"z", 0, 1), (None, 0, 1), (b"x", None, 4)])], "file_id int, term_index int, xorb_hash binary, range_start bigint, range_end bigint")
+    got = {r.file_id: r.url or r.error for r in op.match_fetch_ranges(terms, infos, strict=False).collect()}
+    assert got == {0: "u3", 1: "NoMatchingFetchInfo", 2: "none", 3: "MissingFetchInfo", 4: "MissingFetchInfo", 5: "NoMatchingFetchInfo"}
+
+
 def test_hex_functions(spark):
     raw = [splitmix(32, i) for i in range(200)]
     df = spark.createDataFrame([(h,) for h in raw], "h binary").select("h", fn.api_hex(F.col("h")).alias("t"))
