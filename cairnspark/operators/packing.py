@@ -13,6 +13,10 @@ from .. import constants as c
 from ..kernels.codec import serialize_xorb
 from ..kernels.merkle import roots
 
+#: Bytes and number of built xorbs hashed and handed on together.
+_BATCH_BYTES = 8 << 20
+_BATCH_XORBS = 4096
+
 
 def in_file_order(rows: DataFrame, by: str, order: str) -> DataFrame:
     """Rows of a file together and in order; files side by side."""
@@ -75,34 +79,66 @@ def build_xorbs(placed: DataFrame, data: DataFrame, codec: str = "lz4", by: str
     chunk_index) and the bytes; this is the one shuffle that bytes go through.
     ``chunks`` is an array of (chunk_index, chunk_hash, byte_range_start, size,
     ser_start, ser_end) within the xorb.
+
+    Rows are sorted by Spark and stream by; small xorbs are hashed and handed on
+    many at a time. What is held is a batch of rows, a batch of xorbs and one
+    xorb.
     """
     kind = placed.schema[by].dataType.simpleString()
     detail = "array<struct<chunk_index: int, chunk_hash: binary, byte_range_start: bigint, size: bigint, ser_start: bigint, ser_end: bigint>>"
     detail_kind = pa.list_(pa.struct([("chunk_index", pa.int32()), ("chunk_hash", pa.binary()), *[(n, pa.int64()) for n in ("byte_range_start", "size", "ser_start", "ser_end")]]))
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("xorb_chunk")
-        hashes, datas = table.column("chunk_hash").to_pylist(), table.column("data").to_pylist()
-        sizes = [len(d) for d in datas]
-        payload, spans = serialize_xorb(datas, codec)
-        raw = np.cumsum([0, *sizes]).tolist()
-        chunks = [{"chunk_index": i, "chunk_hash": h, "byte_range_start": raw[i], "size": sizes[i], "ser_start": s, "ser_end": e} for i, (h, (s, e)) in enumerate(zip(hashes, spans, strict=True))]
-        return pa.table(
-            {
-                by: table.column(by).slice(0, 1),
-                "xorb_index": table.column("xorb_index").slice(0, 1),
-                "xorb_hash": pa.array(roots([list(zip(hashes, sizes, strict=True))]), pa.binary()),
-                "chunk_count": pa.array([len(hashes)], pa.int64()),
-                "total_raw_bytes": pa.array([raw[-1]], pa.int64()),
-                "serialized_size": pa.array([len(payload)], pa.int64()),
-                "payload": pa.array([payload], pa.binary()),
-                "chunks": pa.array([chunks], detail_kind),
-            }
-        )
+    def built(done: list[tuple], own_kind: pa.DataType) -> pa.RecordBatch:
+        """Whole xorbs as rows; the trees of all are hashed together."""
+        own, at, payloads, hashes, spans = zip(*done, strict=True)
+        sizes = [[e - s for s, e in zip(r, r[1:], strict=False)] for r in (x[1] for x in spans)]
+        chunks = [
+            [{"chunk_index": i, "chunk_hash": x, "byte_range_start": raw[i], "size": n[i], "ser_start": s, "ser_end": e} for i, (x, (s, e)) in enumerate(zip(h, ser, strict=True))]
+            for h, n, (ser, raw) in zip(hashes, sizes, spans, strict=True)
+        ]
+        cols = [
+            pa.array(own, own_kind),
+            pa.array(at, pa.int32()),
+            pa.array(roots([list(zip(h, n, strict=True)) for h, n in zip(hashes, sizes, strict=True)]), pa.binary()),
+            pa.array([len(h) for h in hashes], pa.int64()),
+            pa.array([raw[-1] for _, raw in spans], pa.int64()),
+            pa.array([len(p) for p in payloads], pa.int64()),
+            pa.array(payloads, pa.binary()),
+            pa.array(chunks, detail_kind),
+        ]
+        return pa.RecordBatch.from_arrays(cols, [by, "xorb_index", "xorb_hash", "chunk_count", "total_raw_bytes", "serialized_size", "payload", "chunks"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, own_kind, hashes, datas = None, None, [], []  # the xorb that is open
+        done: list[tuple] = []
+        held = 0
+
+        def close() -> None:
+            nonlocal held, hashes, datas
+            payload, ser = serialize_xorb(datas, codec)
+            done.append((*own, payload, hashes, (ser, np.cumsum([0, *map(len, datas)]).tolist())))
+            held, hashes, datas = held + len(payload), [], []
+
+        for batch in batches:
+            own_kind = batch.schema.field(0).type
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            for i, (key, h) in enumerate(zip(keys, batch.column(3).to_pylist(), strict=True)):
+                if hashes and key != own:
+                    close()
+                    if held >= _BATCH_BYTES or len(done) >= _BATCH_XORBS:
+                        yield built(done, own_kind)
+                        done, held = [], 0
+                own = key
+                hashes.append(h)
+                datas.append(batch.column(4)[i].as_py())
+        if hashes:
+            close()
+        if done:
+            yield built(done, own_kind)
 
     joined = placed.join(data.select(by, "chunk_index", "data"), [by, "chunk_index"])
-    rows = joined.select(by, "xorb_index", "xorb_chunk", "chunk_hash", "data")
-    return rows.groupBy(by, "xorb_index").applyInArrow(run, f"`{by}` {kind}, xorb_index int, xorb_hash binary, chunk_count bigint, total_raw_bytes bigint, serialized_size bigint, payload binary, chunks {detail}")
+    rows = joined.select(by, "xorb_index", "xorb_chunk", "chunk_hash", "data").repartition(by, "xorb_index").sortWithinPartitions(by, "xorb_index", "xorb_chunk")
+    return rows.mapInArrow(run, f"`{by}` {kind}, xorb_index int, xorb_hash binary, chunk_count bigint, total_raw_bytes bigint, serialized_size bigint, payload binary, chunks {detail}")
 
 
 def xorb_chunks(xorbs: DataFrame) -> DataFrame:

@@ -99,6 +99,38 @@ def test_greedy_packing(spark, cap, overhead, sizes, want):
     assert [r.xorb_index for r in got] == want
 
 
+@pytest.mark.parametrize("rows", [2, 10_000])
+def test_small_xorbs_are_built_many_at_a_time(spark, rows):
+    """No call into Python a xorb; batches may cut xorbs anywhere."""
+    from cairnspark.kernels.codec import serialize_xorb
+
+    units = {f"f{k}": [splitmix(50 + 7 * i, 40 * k + i) for i in range(1 + k % 6)] for k in range(40)}
+    flat = [(f, i, keyed(c.DATA_KEY, [d])[0], len(d), d) for f, ds in units.items() for i, d in enumerate(ds)]
+    data = spark.createDataFrame(flat, "file_id string, chunk_index int, chunk_hash binary, size bigint, data binary")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        xorbs = op.build_xorbs(op.assign_xorbs(data.drop("data"), cap=200), data, "lz4")
+        got = {(r.file_id, r.xorb_index): r for r in xorbs.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroups" not in xorbs._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for f, ds in units.items():
+        xorb, held = 0, []
+        for d in ds:
+            if held and sum(len(x) + 8 for x in [*held, d]) > 200:
+                xorb, held = xorb + 1, []
+            held = [*held, d]
+            want[f, xorb] = held
+    assert set(got) == set(want) and len(got) > 60
+    for k, ds in want.items():
+        r, (payload, spans), hashes = got[k], serialize_xorb(ds), keyed(c.DATA_KEY, ds)
+        assert bytes(r.payload) == payload and r.serialized_size == len(payload) and r.total_raw_bytes == sum(map(len, ds))
+        assert bytes(r.xorb_hash) == merkle.roots([list(zip(hashes, map(len, ds), strict=True))])[0] and r.chunk_count == len(ds)
+        at = [sum(map(len, ds[:i])) for i in range(len(ds))]
+        assert [(x.chunk_index, bytes(x.chunk_hash), x.byte_range_start, x.size, x.ser_start, x.ser_end) for x in r.chunks] == [(i, h, at[i], len(d), *spans[i]) for i, (h, d) in enumerate(zip(hashes, ds, strict=True))]
+
+
 @pytest.mark.parametrize("codec", c.CODECS)
 def test_ingest_and_reconstruct(files, codec):
     done = ingest(files, codec=codec, cap=50_000, **SMALL)
