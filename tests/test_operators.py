@@ -220,6 +220,38 @@ def test_shards(spark):
     assert not plain.is_keyed and plain.chunk_hash_key is None and plain.created is None
 
 
+@pytest.mark.parametrize("rows", [1, 3, 10_000])
+def test_shards_are_folded_as_rows_arrive(spark, rows):
+    """No table of a shard's rows is made in Python; batches may cut files,
+    xorbs and shards anywhere, and bytes are those of the plain writer."""
+    from cairnspark.kernels.codec import FileInfo, Shard, XorbInfo, shard_layout
+
+    h = lambda *x: keyed(c.ZERO, [repr(x).encode()])[0]
+    files = {(s, h("f", s, f)): ([(h("x", f, k), 2**31 + k, k, 2**20 + k) for k in range(1 + f % 4)], h("r", f) if f % 3 == 1 else None) for s in (None, 1, 2) for f in range(7)}
+    xorbs = {(s, h("x", s, x)): ([(h("c", x, k), 9 * k, 2**30 + k) for k in range(1 + x % 3)], 77 + x) for s in (None, 2, 3) for x in range(5)}
+    segs = spark.createDataFrame([(s, f, k, *seg, r) for (s, f), (own, r) in files.items() for k, seg in enumerate(own)], "shard int, file_hash binary, segment_index int, xorb_hash binary, unpacked_segment_size bigint, chunk_index_start int, chunk_index_end int, range_hash binary")
+    chunks = spark.createDataFrame([(s, x, k, *own, n) for (s, x), (all_own, n) in xorbs.items() for k, own in enumerate(all_own)], "shard int, xorb_hash binary, chunk_index int, chunk_hash binary, byte_range_start bigint, size bigint, serialized_size bigint")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        shards = op.build_shards(segs, chunks, created=5)
+        got = {r.shard: bytes(r.payload) for r in shards.collect()}
+        back = [sorted(map(tuple, f(shards).select(x.columns).collect()), key=repr) == sorted(map(tuple, x.collect()), key=repr) for f, x in ((op.shard_segments, segs), (op.shard_chunks, chunks))]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert back == [True, True] and "CoGroups" not in shards._jdf.queryExecution().executedPlan().toString()
+    assert set(got) == {None, 1, 2, 3}
+    for s, payload in got.items():
+        own_files = [FileInfo(f, own, r) for (k, f), (own, r) in sorted(files.items(), key=lambda x: x[0][1]) if k == s]
+        own_xorbs = [XorbInfo(x, own, sum(n for *_, n in own), stored) for (k, x), (own, stored) in sorted(xorbs.items(), key=lambda x: x[0][1]) if k == s]
+        assert payload == Shard(own_files, own_xorbs, created=5).to_bytes()
+        parts = shard_layout(payload)
+        assert sum(len(x[0]) for x in parts.segments(2)) == sum(len(f.segments) for f in own_files)
+        assert [x for p in parts.chunks(2) for x in p[3].tolist()] == [list(h) for x in own_xorbs for h, *_ in x.chunks]
+    big = segs.withColumn("unpacked_segment_size", F.lit(2**32))
+    with pytest.raises(PySparkException, match="32 bits"):
+        op.build_shards(big, chunks).collect()
+
+
 def test_keyed_lookup(spark):
     probes = spark.createDataFrame([(bytes([i]) * 32,) for i in range(4)], "chunk_hash binary")
     key = bytes([77]) + bytes(31)
